@@ -27,7 +27,17 @@ def build_session(app: str = "shelfspark", cores: str | int = "*", **conf: str)
     return spark
 
 
+def share_package(spark: SparkSession) -> None:
+    """Lets Python workers import this package from where the driver has it, besides their own path."""
+    home = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    environment = spark.sparkContext.environment
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if home not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([*paths, home])
+
+
 def load_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    share_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
