@@ -75,75 +75,91 @@ def best_fit_runs(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[
     return runs, bins
 
 
-def pack(sizes: DataFrame, capacity: int, id_col: str = "doc_id", size_col: str = "n_tokens") -> DataFrame:
-    """(bin_id, id, piece_no, token_start, piece_tokens) of every item for containers of ``capacity``."""
+def _no_pieces(sizes: DataFrame, id_col: str) -> DataFrame:
+    zero = F.lit(0).cast("bigint")
+    return sizes.limit(0).select(
+        F.lit(0).alias("container_id"), zero.alias("bin_id"), id_col, F.lit(0).alias("piece_no"), zero.alias("token_start"), zero.alias("piece_tokens")
+    )
+
+
+def pack_kinds(sizes: DataFrame, kinds: dict[int, int], id_col: str = "doc_id", size_col: str = "n_tokens") -> DataFrame:
+    """(container_id, bin_id, id, piece_no, token_start, piece_tokens): a packing of all items for each kind of container.
+
+    ``kinds`` gives the capacity of each container id. All kinds are sorted, counted and placed together.
+    """
     spark = sizes.sparkSession
-    if capacity < 1:
-        raise ValueError("the capacity must be at least 1")
-    base = sizes.select(F.col(id_col).alias("_id"), F.coalesce(F.col(size_col), F.lit(0)).cast("bigint").alias("n"))
-    base = base.select("_id", "n", F.floor(F.col("n") / capacity).alias("whole"), (F.col("n") % capacity).cast("int").alias("size"))
-    ordered = materialize(base.repartitionByRange("size", "_id").sortWithinPartitions("size", "_id"))
+    if not kinds:
+        return _no_pieces(sizes, id_col)
+    if min(kinds.values()) < 1:
+        raise ValueError("capacities must be at least 1")
+    each = F.array(*(F.struct(F.lit(k).cast("int").alias("container_id"), F.lit(c).cast("bigint").alias("capacity")) for k, c in sorted(kinds.items())))
+    base = sizes.select(F.col(id_col).alias("_id"), F.coalesce(F.col(size_col), F.lit(0)).cast("bigint").alias("n"), F.inline(each))
+    base = base.select("container_id", "capacity", "_id", "n", F.floor(F.col("n") / F.col("capacity")).alias("whole"), (F.col("n") % F.col("capacity")).cast("int").alias("size"))
+    order = ["container_id", "size", "_id"]
+    ordered = materialize(base.repartitionByRange(*order).sortWithinPartitions(*order))
     position = F.monotonically_increasing_id()
     placed = ordered.select("*", F.shiftright(position, 33).alias("part"), position.bitwiseAND((1 << 33) - 1).alias("place"))
-    parts = {r["part"]: r["n"] for r in placed.groupBy("part").agg(F.count("*").alias("n")).collect()}  # one count a partition
+    # One pass: counts by partition, kind and size; their number is bounded by partitions plus capacities, since it is sorted.
+    counts = placed.groupBy("part", "container_id", "size").agg(F.count("*").alias("n"), F.max("whole").alias("whole")).collect()
+    parts: dict[int, int] = {}
+    histograms: dict[int, dict[int, int]] = {k: {} for k in kinds}
+    longest = dict.fromkeys(kinds, 0)
+    for r in counts:
+        parts[r["part"]] = parts.get(r["part"], 0) + r["n"]
+        own = histograms[r["container_id"]]
+        own[r["size"]] = own.get(r["size"], 0) + r["n"]
+        longest[r["container_id"]] = max(longest[r["container_id"]], r["whole"] or 0)
     before, starts = 0, []
     for part in sorted(parts):
         starts.append((part, before))
         before += parts[part]
-    histogram = {r["size"]: r["n"] for r in ordered.groupBy("size").agg(F.count("*").alias("n")).collect()}  # at most `capacity` counts
-    smaller, firsts = 0, []
-    for size in sorted(histogram):
-        firsts.append((size, smaller))
-        smaller += histogram[size]
-    longest = ordered.agg(F.max("whole")).first()[0] or 0
-    runs, bins = best_fit_runs({s: n for s, n in histogram.items() if s > 0}, capacity)
+    smaller, firsts, runs, totals = 0, [], [], []
+    for kind in sorted(kinds):
+        for size in sorted(histograms[kind]):
+            firsts.append((kind, size, smaller))
+            smaller += histograms[kind][size]
+        own_runs, bins = best_fit_runs({s: n for s, n in histograms[kind].items() if s > 0}, kinds[kind])
+        runs += [(kind, *r) for r in own_runs]
+        totals.append((kind, bins, longest[kind]))
     starts_df = spark.createDataFrame(starts or [(0, 0)], "part bigint, before bigint")
-    firsts_df = spark.createDataFrame(firsts or [(0, 0)], "size int, smaller bigint")
-    runs_df = spark.createDataFrame(runs, "run_size int, low bigint, high bigint, first_bin bigint, per_bin bigint")
+    firsts_df = spark.createDataFrame(firsts or [(0, 0, 0)], "container_id int, size int, smaller bigint")
+    totals_df = spark.createDataFrame(totals, "container_id int, bins bigint, longest bigint")
+    runs_df = spark.createDataFrame(runs, "run_kind int, run_size int, low bigint, high bigint, first_bin bigint, per_bin bigint")
     runs_df = F.broadcast(runs_df) if len(runs) <= BROADCAST_RUNS else runs_df
     ranked = placed.join(F.broadcast(starts_df), "part").withColumn("index", F.col("before") + F.col("place"))
-    ranked = ranked.join(F.broadcast(firsts_df), "size").withColumn("rank", F.col("index") - F.col("smaller"))
-    fits = (F.col("size") == F.col("run_size")) & F.col("rank").between(F.col("low"), F.col("high"))
-    rest = (
-        ranked.filter("size > 0").join(runs_df, fits)
-        .select(
-            (F.col("first_bin") + F.floor((F.col("rank") - F.col("low")) / F.col("per_bin"))).alias("bin_id"),
-            F.col("_id").alias(id_col),
-            F.col("whole").cast("int").alias("piece_no"),
-            (F.col("whole") * capacity).alias("token_start"),
-            F.col("size").cast("bigint").alias("piece_tokens"),
-        )
-    )
-    # Whole containers of split documents follow the packed ones: their ids are unique, with gaps.
-    whole = (
-        ranked.filter("whole > 0")
-        .select("_id", "index", F.explode(F.sequence(F.lit(0), F.col("whole").cast("int") - 1)).alias("piece_no"))
-        .select(
-            (F.lit(bins) + F.col("index") * longest + F.col("piece_no")).alias("bin_id"),
-            F.col("_id").alias(id_col),
-            "piece_no",
-            (F.col("piece_no") * capacity).cast("bigint").alias("token_start"),
-            F.lit(capacity).cast("bigint").alias("piece_tokens"),
-        )
+    ranked = ranked.join(F.broadcast(firsts_df), ["container_id", "size"]).withColumn("rank", F.col("index") - F.col("smaller"))
+    fits = (F.col("container_id") == F.col("run_kind")) & (F.col("size") == F.col("run_size")) & F.col("rank").between(F.col("low"), F.col("high"))
+    rest = ranked.filter("size > 0").join(runs_df, fits)
+    rest = rest.select(
+        "container_id",
+        (F.col("first_bin") + F.floor((F.col("rank") - F.col("low")) / F.col("per_bin"))).alias("bin_id"),
+        F.col("_id").alias(id_col),
+        F.col("whole").cast("int").alias("piece_no"),
+        (F.col("whole") * F.col("capacity")).alias("token_start"),
+        F.col("size").cast("bigint").alias("piece_tokens"),
     )
-    empty = ordered.filter("n = 0").select(
-        F.lit(None).cast("bigint").alias("bin_id"), F.col("_id").alias(id_col), F.lit(0).alias("piece_no"), F.lit(0).cast("bigint").alias("token_start"), F.lit(0).cast("bigint").alias("piece_tokens")
+    # Whole containers of split documents follow the packed ones (their ids are unique, with gaps); empty ones have none.
+    others = ranked.filter("whole > 0 or n = 0").join(F.broadcast(totals_df), "container_id")
+    others = others.select("*", F.explode(F.sequence(F.lit(0), F.greatest(F.col("whole").cast("int") - 1, F.lit(0)))).alias("piece_no")).select(
+        "container_id",
+        F.when(F.col("n") > 0, F.col("bins") + F.col("index") * F.col("longest") + F.col("piece_no")).alias("bin_id"),
+        F.col("_id").alias(id_col),
+        "piece_no",
+        F.col("piece_no") * F.col("capacity"),
+        F.when(F.col("n") > 0, F.col("capacity")).otherwise(0).cast("bigint"),
     )
-    return rest.unionByName(whole).unionByName(empty)
+    return rest.union(others)
+
+
+def pack(sizes: DataFrame, capacity: int, id_col: str = "doc_id", size_col: str = "n_tokens") -> DataFrame:
+    """(bin_id, id, piece_no, token_start, piece_tokens) of every item for containers of one capacity."""
+    return pack_kinds(sizes, {0: capacity}, id_col, size_col).drop("container_id")
 
 
 def pack_all(sizes: DataFrame, containers: DataFrame, id_col: str = "doc_id", size_col: str = "n_tokens") -> DataFrame:
-    """The packing for each row of ``containers`` (container_id, capacity_tokens)."""
-    sizes = materialize(sizes.select(id_col, size_col))
-    kinds = containers.select("container_id", "capacity_tokens").filter("capacity_tokens > 0").distinct().limit(1001).collect()
+    """The packing for each row of ``containers`` (container_id, capacity_tokens); the least capacity of a repeated id."""
+    named = containers.filter("container_id is not null and capacity_tokens > 0").groupBy("container_id").agg(F.min("capacity_tokens").alias("capacity"))
+    kinds = {r["container_id"]: r["capacity"] for r in named.limit(1001).collect()}
     if len(kinds) > 1000:
         raise ValueError("more than 1000 kinds of containers")
-    out = None
-    for kind in sorted(kinds):
-        one = pack(sizes, kind["capacity_tokens"], id_col, size_col).select(F.lit(kind["container_id"]).cast("int").alias("container_id"), "*")
-        out = one if out is None else out.unionByName(one)
-    if out is None:
-        return sizes.limit(0).select(
-            F.lit(0).alias("container_id"), F.lit(0).cast("bigint").alias("bin_id"), id_col, F.lit(0).alias("piece_no"), F.lit(0).cast("bigint").alias("token_start"), F.lit(0).cast("bigint").alias("piece_tokens")
-        )
-    return out
+    return pack_kinds(sizes, kinds, id_col, size_col)

@@ -29,6 +29,8 @@ from shelfspark.session import materialize
 BUCKETS = 8192
 HOT_BOUND = 20_000
 LONG_WORD = 64
+#: Characters of a plan's description that are kept while literal maps are in plans.
+PLAN_TEXT = 20_000
 DEFAULT_RANKS = "byte_bpe_50k.tiktoken"
 
 
@@ -135,6 +137,8 @@ def encode_words(words: DataFrame, path: str) -> DataFrame:
 def encode(df: DataFrame, text_col: str = "text", out: str = "ids", path: str | None = None) -> DataFrame:
     """``df`` with the token ids of ``text_col``; all rows stay."""
     path = path or vocabulary_path()
+    # The literal maps would be printed with every plan that the driver keeps.
+    df.sparkSession.conf.set("spark.sql.maxPlanStringLength", str(PLAN_TEXT))
     text = F.coalesce(F.col(text_col), F.lit(""))
     pairs = df.select(F.explode(F.array_distinct(split_words(text))).alias("word"))
     counted = pairs.groupBy("word").agg(F.count("*").alias("n"))
