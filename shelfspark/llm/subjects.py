@@ -32,10 +32,10 @@ MAX_LABELLED = 12_000
 ROUNDS = 4
 #: Least part of a text's sentences that speak about any subject.
 LEAST_COVER = 0.38
-#: Nats by which a sentence must speak for a subject that isn't among its document's labels.
-CLEAR_GAIN = 4.0
+# Gains are measured in units of the most that one word can say, the logarithm of the number of subjects: what is taken for
+# nothing, what speaks for a subject that isn't among the document's labels, and the levels that are tried in calibration.
+_DEAD_ZONE, _CLEAR, _LEVELS = 0.28, 1.6, (0.48, 0.65, 0.8, 1.0)
 _PRIOR = 4.0
-_DEAD_ZONE = 0.7
 _LAMBDA = (0.35, 0.60, 0.05)  # bigram, unigram, uniform
 _MARKUP = re.compile(r"<[^<>]{0,300}>|&[a-z]+;|https?://\S+")
 _SENTENCE = re.compile(r"[.!?؟۔¡¿\n\r|]+|(?<=[:;])\s")
@@ -65,7 +65,8 @@ class SubjectModels:
         self.pairs: dict[tuple[int, int], int] = {}
         #: Gain in nats of each subject over the background for a word, and for a word behind a certain word.
         self.table = np.zeros((1, len(self.subjects)), dtype=np.float32)
-        self.least_gain = 1.0
+        self.unit = float(np.log(max(2, len(self.subjects))))
+        self.least_gain = _LEVELS[0] * self.unit
         self.least_share = 0.3
 
     def learn_words(self, said: Sequence[list[str]]) -> None:
@@ -119,8 +120,8 @@ class SubjectModels:
         pair_own = (two_count[:, :k] + _PRIOR * pair_back) / (behind[:, :k] + _PRIOR)
         double = np.log((l2 * pair_own + l1 * own[ends[:, 1]] + flat) / (l2 * pair_back + l1 * back[ends[:, 1]] + flat))
         # Small differences come from which languages and phrases happen to be labelled; a cross-entropy counts beyond them.
-        single[np.abs(single) < _DEAD_ZONE] = 0
-        double[np.abs(double) < _DEAD_ZONE] = 0
+        single[np.abs(single) < _DEAD_ZONE * self.unit] = 0
+        double[np.abs(double) < _DEAD_ZONE * self.unit] = 0
         self.table = np.vstack([single, np.zeros((1, k)), double]).astype(np.float32)
 
     def gains(self, said: Sequence[list[str]]) -> np.ndarray:
@@ -193,7 +194,7 @@ def train(labelled: Sequence[tuple[str, dict[str, float]]], subjects: Sequence[s
         own = np.argmax(np.where(labelled_as, gains, -np.inf), axis=1)
         best = np.argmax(gains, axis=1)
         own_gain, best_gain = gains[rows, own], gains[rows, best]
-        far = best_gain >= np.maximum(CLEAR_GAIN, own_gain + CLEAR_GAIN)
+        far = best_gain >= np.maximum(_CLEAR * models.unit, own_gain + _CLEAR * models.unit)
         chosen = np.where(far, best, np.where(own_gain >= models.least_gain, own, k))
         models.fit(said, np.eye(k + 1)[chosen])
     calibrate(models, models.gains(said), docs)
@@ -204,7 +205,7 @@ def calibrate(models: SubjectModels, gains: np.ndarray, docs: Sequence[tuple[int
     """Sets the least gain and share to the pair with the best agreement (F1) with the labels."""
     best = (-1.0, models.least_gain, models.least_share)
     names = models.subjects
-    for gain in (1.2, 1.6, 2.0, 2.5):
+    for gain in (level * models.unit for level in _LEVELS):
         models.least_gain = gain
         shares = [models.shares(gains[lo:hi]) for lo, hi, _ in docs]
         for share in (0.2, 0.225, 0.25, 0.275, 0.3):
@@ -224,7 +225,9 @@ def label_sample(documents: DataFrame, labels: DataFrame, limit: int = MAX_LABEL
     """At most ``limit`` labelled documents, least hash of the id first, with the share of each label."""
     voted = labels.filter("doc_id is not null and subject is not null").groupBy("doc_id", "subject").agg(F.count("*").alias("n"))
     chosen = voted.groupBy("doc_id").agg(F.collect_list(F.struct("subject", "n")).alias("votes")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    texts = documents.filter("text is not null").groupBy("doc_id").agg(F.min("text").alias("text"))
+    # At most ``limit`` ids are broadcast, so that only their texts move.
+    wanted = documents.filter("text is not null").join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi")
+    texts = wanted.groupBy("doc_id").agg(F.min("text").alias("text"))
     rows = chosen.join(texts, "doc_id").orderBy("doc_id").collect()
     out = []
     for row in rows:
