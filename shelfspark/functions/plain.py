@@ -40,11 +40,13 @@ def fold_lookalikes(text: Column) -> Column:
     spelled = out
     for one, letters in LIGATURES.items():
         spelled = F.replace(spelled, F.lit(one), F.lit(letters))
-    return F.when(ligature, spelled).otherwise(out)
+    # Most texts are plain: they pass by after one scan.
+    return F.when(text.rlike(r"[^\x00-\x7F]"), F.when(ligature, spelled).otherwise(out)).otherwise(text)
 
 
 def strip_accents(lower_text: Column) -> Column:
-    return F.translate(lower_text, "".join(_BASE_OF) + _COMBINING, "".join(_BASE_OF.values()))
+    bare = F.translate(lower_text, "".join(_BASE_OF) + _COMBINING, "".join(_BASE_OF.values()))
+    return F.when(lower_text.rlike(r"[^\x00-\x7F]"), bare).otherwise(lower_text)
 
 
 def squeeze(text: Column) -> Column:
@@ -54,5 +56,6 @@ def squeeze(text: Column) -> Column:
 
 def is_stand_in(text: Column) -> Column:
     """True for null, blank and the usual words for a missing value."""
-    plain = F.lower(squeeze(F.translate(text, _FROM, _TO)))
-    return text.isNull() | plain.isin(*STAND_INS)
+    # No stand-in is long, whatever surrounds it; only short texts are looked at.
+    plain = F.lower(squeeze(fold_lookalikes(text)))
+    return text.isNull() | F.when(text.rlike(r"\w{12}"), False).otherwise(plain.isin(*STAND_INS))
