@@ -58,7 +58,7 @@ SCRIPT_DEMANDS = (
     r"^bitte aktivieren sie (?:javascript|js)\b.{0,80}$",
     r"^(?:por favor,? )?activa (?:javascript|js)\b.{0,80}$",
     r"^(?:veuillez|s il vous plait) activer (?:javascript|js)\b.{0,80}$",
-    r"جاوا ?اسکرپٹ.{0,20}(?:فعال|آن)",
+    r"^.{0,40}جاوا ?اسکرپٹ.{0,20}(?:فعال|آن)",
 )
 ERROR_PAGES = (
     r"^(?:http )?(?:error )?0 ?-? ?(?:the page you requested was not found|page not found|not found|forbidden|unauthorized|bad gateway|bad request|internal server error|service unavailable|gateway timeout|too many requests)(?: nginx| apache)?$",
@@ -109,13 +109,17 @@ FILLER = (
 )
 # What servers and shops put behind a message.
 _TAILS = r"(?:\s*(?:<hr>.*|<center>.*|back to (?:the )?shop\.?|return to the home ?page\.?|your ip has been logged\.?|try again later\.?|ticket 0))+$"
+_TAIL_ENDS = ("shop", "shop.", "page", "page.", "logged", "logged.", "later", "later.", ">", "ticket 0")
 
 
 def message_key(text: Column) -> Column:
     """Lower-case text of plain characters with numbers masked and the usual tails of pages removed."""
     key = F.lower(squeeze(fold_lookalikes(text)))
     key = F.regexp_replace(key, r"[0-9]+(?:[.:][0-9a-f]+)*", "0")
-    bare = F.regexp_replace(key, _TAILS, "")
+    tailed = F.lit(False)
+    for end in _TAIL_ENDS:
+        tailed = tailed | key.endswith(end)
+    bare = F.when(tailed, F.regexp_replace(key, _TAILS, "")).otherwise(key)
     return F.when(bare == "", key).otherwise(bare)
 
 
@@ -130,7 +134,8 @@ def classify_message(key: Column) -> Column:
     """``script``, ``error`` or ``filler`` for the key of a message, else null."""
 
     def any_of(patterns: Sequence[str]) -> Column:
-        return key.rlike("|".join(f"(?:{p})" for p in patterns))
+        # One anchor in front, so that a text without a match fails once and not at each of its characters.
+        return key.rlike("^(?:" + "|".join(p.removeprefix("^") for p in patterns) + ")")
 
     return F.when(any_of(SCRIPT_DEMANDS), "script").when(any_of(ERROR_PAGES), "error").when(any_of(FILLER), "filler")
 
