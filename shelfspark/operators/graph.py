@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfspark.session import materialize
+from shelfspark.session import materialize, release_shuffles
 
 #: Rounds after which the search is given up as broken; components of a diameter beyond this would need more.
 MAX_ROUNDS = 60
@@ -37,6 +37,7 @@ def connected_components(links: DataFrame, item: str = "item", key: str = "key",
         if on_round:
             on_round()
         if not changed:
+            release_shuffles(links.sparkSession)
             lone = edges.select("item").distinct().join(labels, "item", "left_anti").select("item", F.col("item").alias("component"))
             return labels.select("item", F.col("label").alias("component")).unionByName(lone)
     raise RuntimeError(f"components didn't settle in {MAX_ROUNDS} rounds")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 
@@ -62,3 +63,13 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Lets the driver find out which shuffles nothing refers to any more, so that their files go from the executors' disks.
+
+    Worth a call where an iterative operator has cut its lineage; the files would else stay until the driver's next full
+    garbage collection.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
