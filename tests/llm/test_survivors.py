@@ -31,6 +31,13 @@ def test_groups_and_values(spark):
     assert surviving_values(df.limit(0)).count() == 0
 
 
+def test_nulls_and_clashing_columns(spark):
+    df = spark.createDataFrame([*ROWS, tuple([None] * 12), tuple([None] * 12)], SCHEMA)
+    more = df.selectExpr("*", "row_id as group_row_id", "row_id as n", "brand as offered", "brand as bad", "brand as instant", "brand as key")
+    got = {(r.group_row_id, r.field_name): r.from_row_id for r in surviving_values(more).collect()}
+    assert {f: got[1, f] for f in brute(ROWS)[1]} == brute(ROWS)[1]
+
+
 def test_ties_take_the_smallest_id_and_hot_groups_hold(spark):
     same = [(i, "s.example", "1", None, None, "Mug", None, None, None, None, None, "2031-01-01T00:00:00Z") for i in range(300, 0, -1)]
     got = surviving_values(spark.createDataFrame(same, SCHEMA)).collect()
