@@ -2,7 +2,7 @@
 
 Captures of one listing are pooled first. From the pooled titles and texts come typed tokens: brand, article code, quantity in
 a base unit, and words. Each listing generates the combinations of its brand with an article code, or with a word that
-only this brand uses, with and without the quantity. A combination scores by its length, its average position in the
+tells brands apart, with and without the quantity. A combination scores by its length, its average position in the
 titles and its frequency over all listings; each listing votes for its best one per kind. Clusters of one combination
 are verified (same quantity, same accessory, no two article codes) and merged through listings that hold both kinds.
 
@@ -35,6 +35,8 @@ UNITS: tuple[tuple[str, str, float], ...] = (
 _NUMBER_WORDS = ("one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve")
 #: Words at the beginning of a description that may name the item, and how far behind the title they count.
 OPENING_WORDS, BEHIND_TITLE = 9, 12
+#: How far above chance two listings with a word must be of one brand, from 0 (as by chance) to 1 (always).
+LEAST_EXCESS = 0.1
 _UNIT = "|".join(u for u, _, _ in UNITS)
 _QUANTITY = rf"(?<![\p{{L}}\p{{N}}./])(\d+(?:[.,]\d+)?) ?-?(?:{_UNIT})(?![\p{{L}}\p{{N}}])"
 _COUNTED = rf"(?:(?:set|pack|box) of|{'|'.join(_NUMBER_WORDS)})"
@@ -167,16 +169,25 @@ def listing_evidence(df: DataFrame, groups: DataFrame) -> DataFrame:
 def vote(evidence: DataFrame) -> DataFrame:
     """(listing, shop, brand, accessory, code, quantity, word): ``word`` is the one of the listing's best combination with its brand.
 
-    Candidates are words that no other brand's listings use. The score of a combination is length² / (1 + position) · log(
-    frequency), where the quantity makes the combination longer.
+    Candidates are words that tell brands apart: that two listings with the word are of one brand must exceed what the mix of
+    brands gives by chance. Words of one brand have an excess of 1, names that two brands use about a half, and the words of a trade
+    about 0; a few rows of other brands change it little. The score of a combination is length² / (1 + position) · log(frequency),
+    where the quantity makes the combination longer, by the excess and by the part of the word's listings that are of the brand.
     """
     said = evidence.filter("accessory = ''").select("listing", "brand", "quantity", F.inline("words")).filter("word <> brand")
-    used = said.groupBy("word").agg(F.min("brand").alias("low"), F.max("brand").alias("high")).filter("low = high").select("word")
-    own = said.join(used, "word")
-    pairs = own.groupBy("brand", "word").agg(F.count("*").alias("f2"), F.avg("pos").alias("p2"))
+    # Counts in doubles, whose products can't overflow.
+    pairs = said.groupBy("brand", "word").agg(F.count("*").cast("double").alias("f2"), F.avg("pos").alias("p2"))
+    f2, n = F.col("f2"), F.col("n")
+    words = pairs.groupBy("word").agg(F.sum("f2").alias("n"), (F.sum(f2 * (f2 - 1))).alias("same"), F.max("f2").alias("most"))
+    brands = evidence.filter("accessory = ''").groupBy("brand").agg(F.count("*").cast("double").alias("f2"))
+    chance = brands.agg((F.sum(f2 * (f2 - 1)) / F.greatest(F.sum("f2") * (F.sum("f2") - 1), F.lit(1.0))).alias("chance"))
+    excess = F.when(F.col("most") == n, 1.0).otherwise((F.col("same") / (n * (n - 1)) - F.col("chance")) / (1 - F.col("chance")))
+    telling = words.crossJoin(F.broadcast(chance)).select("word", "n", excess.alias("excess")).filter(F.col("excess") >= LEAST_EXCESS)
+    weighed = pairs.join(telling, "word").select("brand", "word", "f2", "p2", (F.col("excess") * f2 / n).alias("weight"))
+    own = said.join(weighed, ["brand", "word"])
     triples = own.filter("quantity is not null").groupBy("brand", "word", "quantity").agg(F.count("*").alias("f3"), F.avg("pos").alias("p3"))
-    scored = own.join(pairs, ["brand", "word"]).join(triples, ["brand", "word", "quantity"], "left")
-    score = F.greatest(4.0 / (1.0 + F.col("p2")) * F.log("f2"), F.coalesce(9.0 / (1.0 + F.col("p3")) * F.log("f3"), F.lit(0.0)))
+    scored = own.join(triples, ["brand", "word", "quantity"], "left")
+    score = F.col("weight") * F.greatest(4.0 / (1.0 + F.col("p2")) * F.log("f2"), F.coalesce(9.0 / (1.0 + F.col("p3")) * F.log("f3"), F.lit(0.0)))
     # Few titles hold a word in one place: the length of the word breaks near ties between combinations of one listing.
     best = scored.groupBy("listing").agg(F.min(F.struct((-F.round(score, 6)).alias("s"), F.col("word").alias("word")))["word"].alias("word"))
     return evidence.drop("words").join(best, "listing", "left")

@@ -46,6 +46,17 @@ def test_pairs(spark):
     assert all(a < b for a, b in got)
 
 
+def test_a_series_name_of_two_brands(spark):
+    nova = [item(i, f"{i}.example", f"Nova Sedirepo kettle 1 l {c}") for i, c in enumerate(("red", "blue", "grey", "green"), 1)]
+    other = [item(i, f"{i}.example", f"Sedirepo {c} lamp 5 w by Other", "Other") for i, c in enumerate(("red", "blue", "grey"), 11)]
+    stray = [item(20, "20.example", "Sedirepo kettle 1 l", "Third")]
+    fill = [item(100 + 10 * b + k, f"{k}.example", f"Brand{b} {w} kettle 1 l {c}", f"Brand{b}") for b, w in enumerate(("mirabel", "tundora", "velosta", "quandel")) for k, c in enumerate(("green", "yellow"))]
+    bare = [item(200 + k, f"{k}.example", f"{c} kettle 1 l", "Nova") for k, c in enumerate(("small", "large"))]
+    rows = spark.createDataFrame(nova + other + stray + fill + bare, SCHEMA)
+    got = {(r.row_id_a, r.row_id_b) for r in same_item_pairs(rows).collect() if r.row_id_a < 100 or r.row_id_b >= 200}
+    assert got == {(a, b) for group in ((1, 2, 3, 4), (11, 12, 13)) for a in group for b in group if a < b}
+
+
 def test_nulls_and_clashing_columns(spark):
     blank = tuple([None] * 12)
     df = spark.createDataFrame([*ROWS[:3], blank, ROWS[0]], SCHEMA)
