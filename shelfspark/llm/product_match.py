@@ -15,6 +15,8 @@ combinations are broken by the combination itself. Copies of a row fall into its
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,12 +35,14 @@ UNITS: tuple[tuple[str, str, float], ...] = (
     ("gb|gigabytes?", "gb", 1.0), ("mb|megabytes?", "gb", 0.001), ("pcs?|pieces?|pce", "pc", 1.0),
 )
 _NUMBER_WORDS = ("one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve")
-#: Words at the beginning of a description that may name the item, and how far behind the title they count.
-OPENING_WORDS, BEHIND_TITLE = 9, 12
+#: How far behind the title the words of a description count.
+BEHIND_TITLE = 12
 #: How far above chance two listings with a word must be of one brand, from 0 (as by chance) to 1 (always).
 LEAST_EXCESS = 0.1
+#: Words in at least this many rows, and one of so many rows, that don't tell brands apart are dropped before they move.
+COMMON_FROM, COMMON_PART = 100, 20_000
 _UNIT = "|".join(u for u, _, _ in UNITS)
-_QUANTITY = rf"(?<![\p{{L}}\p{{N}}./])(\d+(?:[.,]\d+)?) ?-?(?:{_UNIT})(?![\p{{L}}\p{{N}}])"
+_QUANTITY = rf"(?=\d)(?<![\p{{L}}\p{{N}}./])(\d+(?:[.,]\d+)?) ?-?(?:{_UNIT})(?![\p{{L}}\p{{N}}])"
 _COUNTED = rf"(?:(?:set|pack|box) of|{'|'.join(_NUMBER_WORDS)})"
 # What is sold for an item rather than being it.
 _ACCESSORY = (
@@ -48,7 +52,7 @@ _ACCESSORY = (
 # Company forms at the end of a brand.
 _COMPANY = r"[ ,]+(?:co|company|gmbh|ltd|limited|inc|llc|corp|srl|sl|sa|spa|ag|kg|bv|plc|pty)\.?$"
 # Two letters and five digits that aren't the number of a measure.
-_CODE = rf"(?<![\p{{L}}\p{{N}}])([a-z]{{2}})[ ./-]?(\d{{5}})(?![\p{{L}}\p{{N}}]|[.,]\d| ?-?(?:{_UNIT})(?![\p{{L}}\p{{N}}]))"
+_CODE = rf"(?=[a-z]{{2}}[ ./-]?\d)(?<![\p{{L}}\p{{N}}])([a-z]{{2}})[ ./-]?(\d{{5}})(?![\p{{L}}\p{{N}}]|[.,]\d| ?-?(?:{_UNIT})(?![\p{{L}}\p{{N}}]))"
 
 
 def plain_key(text: Column) -> Column:
@@ -103,6 +107,29 @@ def _most_frequent(df: DataFrame, by: str, value: str, weight: str, out: str) ->
     return totals.groupBy(by).agg(best["v"].alias(out))
 
 
+def brand_excess(pairs: DataFrame, brands: DataFrame) -> DataFrame:
+    """(word, n, excess) from the counts ``f2`` of brand and word, and of brands alone.
+
+    The excess is that of the chance that two uses of the word are of one brand over the same for any two.
+    """
+    f2, n = F.col("f2"), F.col("n")
+    words = pairs.groupBy("word").agg(F.sum("f2").alias("n"), F.sum(f2 * (f2 - 1)).alias("same"), F.max("f2").alias("most"))
+    chance = brands.agg((F.sum(f2 * (f2 - 1)) / F.greatest(F.sum("f2") * (F.sum("f2") - 1), F.lit(1.0))).alias("chance"))
+    excess = F.when(F.col("most") == n, 1.0).otherwise((F.col("same") / (n * (n - 1)) - F.col("chance")) / (1 - F.col("chance")))
+    return words.crossJoin(F.broadcast(chance)).select("word", "n", excess.alias("excess"))
+
+
+def common_words(said: DataFrame) -> DataFrame:
+    """(word): frequent words far from telling brands apart, at most ``COMMON_PART`` times the words of a row; `vote` has no use for them."""
+    told = said.filter("brand is not null and accessory = ''")
+    each = F.explode(F.array_distinct(F.concat("title_words", "body_words"))).alias("word")
+    pairs = told.select("brand", each).filter(F.length("word") >= 5).groupBy("brand", "word").agg(F.count("*").cast("double").alias("f2"))
+    brands = told.groupBy("brand").agg(F.count("*").cast("double").alias("f2"))
+    rows = F.broadcast(brands.agg(F.sum("f2").alias("rows")))
+    often = F.col("n") >= F.greatest(F.lit(float(COMMON_FROM)), F.col("rows") / COMMON_PART)
+    return brand_excess(pairs, brands).crossJoin(rows).filter(often & (F.col("excess") < LEAST_EXCESS / 2)).select("word")
+
+
 def listing_evidence(df: DataFrame, groups: DataFrame) -> DataFrame:
     """(listing, shop, brand, accessory, code, quantity, words): what the captures of each listing say, by majority."""
     name = F.when(is_stand_in(F.col("product_name")), F.col("title")).otherwise(F.col("product_name"))
@@ -126,36 +153,39 @@ def listing_evidence(df: DataFrame, groups: DataFrame) -> DataFrame:
         F.when(sku_code != "", F.array(F.replace(sku_code, F.lit("-"), F.lit("")))).otherwise(none).alias("sku_codes"),
         quantities(F.col("name")).alias("name_quantities"),
     )
-    # The texts below the title only speak where title and number are silent.
-    no_code = (F.size("name_codes") == 0) & (F.size("sku_codes") == 0)
-    opening = F.slice(F.split("body", r"[^\p{L}]+"), 1, OPENING_WORDS)
+    # The texts below the title speak in every row; what a title or number says outweighs them.
+    texts = F.concat_ws(" ; ", "body", F.regexp_replace("specs", r'\\*"', " ; "))
     series = F.regexp_extract_all("body", F.lit(r"(?:line|series|range) ?[:=-] ?(\p{L}{5,})"), F.lit(1))
     said = rows.select(
         "row_id", "shop", "brand", F.lit(1.0).alias("n"), "accessory", "name_codes", "sku_codes", "name_quantities",
-        F.when(no_code, article_codes(F.concat_ws(" ; ", "body", "specs"))).otherwise(none).alias("body_codes"),
-        F.when(F.size("name_quantities") == 0, quantities(F.concat_ws(" ; ", "body", F.regexp_replace("specs", r'\\*"', " ; ")))).otherwise(none).alias("body_quantities"),
+        F.when(texts.rlike(r"\d{5}"), article_codes(texts)).otherwise(none).alias("body_codes"),
+        quantities(texts).alias("body_quantities"),
         F.regexp_replace("name", _CODE, " ").alias("title"),
-        F.array_join(F.concat(opening, series), " ").alias("below"),
+        F.array_join(series, " ").alias("keyed"),
+        F.col("body").alias("below"),
     )
     # Only what was read from the texts moves to its listing, not the texts; texts take a fraction of the room of arrays of words.
     said = materialize(said.join(groups.select("row_id", F.col("group_row_id").alias("listing")), "row_id").drop("row_id"))
     release_shuffles(df.sparkSession)
-    said = said.withColumn("title_words", F.split("title", r"[^\p{L}]+")).withColumn("body_words", F.split("below", " "))
+    said = said.withColumn("title_words", F.split("title", r"[^\p{L}]+")).withColumn("body_words", F.split("below", r"[^\p{L}]+")).withColumn("keyed_words", F.split("keyed", " "))
 
     def votes(*pairs: tuple[str, float]) -> DataFrame:
-        arrays = [F.transform(F.col(c), lambda v, w=w: F.struct(v.alias("v"), (F.col("n") * w).alias("w"))) for c, w in pairs]
+        # A second parameter of the lambda would be the index.
+        def weighed(weight: float) -> Callable[[Column], Column]:
+            return lambda v: F.struct(v.alias("v"), (F.col("n") * weight).alias("w"))
+
+        arrays = [F.transform(F.col(c), weighed(w)) for c, w in pairs]
         return said.select("listing", F.inline(F.concat(*arrays)))
 
     base = said.groupBy("listing").agg(F.min("shop").alias("shop"), F.max("accessory").alias("accessory"))
     brand = _most_frequent(said.filter("brand is not null"), "listing", "brand", "n", "brand")
     code = _most_frequent(votes(("name_codes", 100.0), ("sku_codes", 10.0), ("body_codes", 1.0)), "listing", "v", "w", "code")
     quantity = _most_frequent(votes(("name_quantities", 100.0), ("body_quantities", 1.0)), "listing", "v", "w", "quantity")
-    # Words with their average position; those of the text below the title count as far behind.
-    placed = F.concat(
-        F.transform("title_words", lambda w, i: F.struct(w.alias("word"), i.cast("double").alias("pos"))),
-        F.transform("body_words", lambda w, i: F.struct(w.alias("word"), (i + BEHIND_TITLE).cast("double").alias("pos"))),
-    )
-    words = said.select("listing", F.inline(placed)).filter(F.length("word") >= 5).groupBy("listing", "word").agg(F.avg("pos").alias("pos"))
+    # Words with their first position; those of the text below the title count as far behind, those behind a key as its first.
+    below = [F.transform(c, lambda w, i: F.struct(w.alias("word"), (i + BEHIND_TITLE).cast("double").alias("pos"))) for c in ("keyed_words", "body_words")]
+    placed = F.concat(F.transform("title_words", lambda w, i: F.struct(w.alias("word"), i.cast("double").alias("pos"))), *below)
+    spread = said.select("listing", F.inline(placed)).filter(F.length("word") >= 5).join(F.broadcast(common_words(said)), "word", "left_anti")
+    words = spread.groupBy("listing", "word").agg(F.min("pos").alias("pos"))
     named = said.select("listing", "n", F.explode("title_words").alias("word")).filter(F.length("word") >= 4)
     # A listing whose captures name no brand takes a word of its titles that is a brand elsewhere.
     brands = brand.select(F.col("brand").alias("word")).distinct()
@@ -177,13 +207,9 @@ def vote(evidence: DataFrame) -> DataFrame:
     said = evidence.filter("accessory = ''").select("listing", "brand", "quantity", F.inline("words")).filter("word <> brand")
     # Counts in doubles, whose products can't overflow.
     pairs = said.groupBy("brand", "word").agg(F.count("*").cast("double").alias("f2"), F.avg("pos").alias("p2"))
-    f2, n = F.col("f2"), F.col("n")
-    words = pairs.groupBy("word").agg(F.sum("f2").alias("n"), (F.sum(f2 * (f2 - 1))).alias("same"), F.max("f2").alias("most"))
     brands = evidence.filter("accessory = ''").groupBy("brand").agg(F.count("*").cast("double").alias("f2"))
-    chance = brands.agg((F.sum(f2 * (f2 - 1)) / F.greatest(F.sum("f2") * (F.sum("f2") - 1), F.lit(1.0))).alias("chance"))
-    excess = F.when(F.col("most") == n, 1.0).otherwise((F.col("same") / (n * (n - 1)) - F.col("chance")) / (1 - F.col("chance")))
-    telling = words.crossJoin(F.broadcast(chance)).select("word", "n", excess.alias("excess")).filter(F.col("excess") >= LEAST_EXCESS)
-    weighed = pairs.join(telling, "word").select("brand", "word", "f2", "p2", (F.col("excess") * f2 / n).alias("weight"))
+    telling = brand_excess(pairs, brands).filter(F.col("excess") >= LEAST_EXCESS)
+    weighed = pairs.join(telling, "word").select("brand", "word", "f2", "p2", (F.col("excess") * F.col("f2") / F.col("n")).alias("weight"))
     own = said.join(weighed, ["brand", "word"])
     triples = own.filter("quantity is not null").groupBy("brand", "word", "quantity").agg(F.count("*").alias("f3"), F.avg("pos").alias("p3"))
     scored = own.join(triples, ["brand", "word", "quantity"], "left")

@@ -57,6 +57,18 @@ def test_a_series_name_of_two_brands(spark):
     assert got == {(a, b) for group in ((1, 2, 3, 4), (11, 12, 13)) for a in group for b in group if a < b}
 
 
+def test_a_series_named_late_in_the_description(spark):
+    late = "Made for daily use at home and on the road, easy to clean and kept in stock all year, and it belongs to our Sedirepo family."
+    named = [item(i, f"{i}.example", "Nova Sedirepo kettle 1 l") for i in (1, 2)]
+    silent = [item(3, "3.example", "Nova water boiler 1 l", description=late)]
+    coded = [item(4, "4.example", "Nova Mirabel press AB12345"), item(5, "5.example", "Nova coffee maker", description="A press. " * 30 + "Article AB 12345.")]
+    # What a title says outweighs other numbers in the text below.
+    sure = [item(6, "6.example", "Nova Tundora fan CD54321", description="KeyError at 11111, again at 11111"), item(7, "7.example", "Nova fan cd-54321")]
+    fill = [item(100 + k, f"{k}.example", f"Brand{k} water kettle 1 l", f"Brand{k}") for k in range(9)]
+    got = {(r.row_id_a, r.row_id_b) for r in same_item_pairs(spark.createDataFrame(named + silent + coded + sure + fill, SCHEMA)).collect()}
+    assert got == {(1, 2), (1, 3), (2, 3), (4, 5), (6, 7)}
+
+
 def test_nulls_and_clashing_columns(spark):
     blank = tuple([None] * 12)
     df = spark.createDataFrame([*ROWS[:3], blank, ROWS[0]], SCHEMA)
