@@ -9,7 +9,8 @@ A document is about every subject that takes at least the calibrated share of it
 calibrated on the labelled documents.
 
 Training uses at most ``MAX_LABELLED`` labelled documents, chosen by a hash of the id; all documents are scored whole.
-Null and blank texts, and texts without a sentence about any subject, have no subject. With no labels at all there are no
+Null and blank texts, and texts without a sentence about any subject, have no subject; nor have texts where no sentence is clear
+by itself and those that lean to a subject are less than ``LEAST_COVER`` of all. With no labels at all there are no
 subjects. Repeated and contradicting labels share a document's weight.
 """
 
@@ -30,10 +31,10 @@ from shelfspark.functions.plain import INVISIBLE, LOOKALIKE_LETTERS
 #: The bounded sample of labelled documents that the models are trained on.
 MAX_LABELLED = 12_000
 ROUNDS = 4
-#: Least part of a text's sentences that speak about any subject.
+#: Least part of a text's sentences that speak about any subject, in texts without one sentence that is clear by itself.
 LEAST_COVER = 0.38
 # Gains are measured in units of the most that one word can say, the logarithm of the number of subjects: what is taken for
-# nothing, what speaks for a subject that isn't among the document's labels, and the levels that are tried in calibration.
+# nothing, what speaks for a subject by itself (against other labels of the document, or amid plain sentences), and the levels that are tried in calibration.
 _DEAD_ZONE, _CLEAR, _LEVELS = 0.28, 1.6, (0.48, 0.65, 0.8, 1.0)
 _PRIOR = 4.0
 _LAMBDA = (0.35, 0.60, 0.05)  # bigram, unigram, uniform
@@ -138,8 +139,11 @@ class SubjectModels:
             out[i : i + step] = np.add.reduceat(self.table[index[lo:hi]], starts[i : i + step] - lo, axis=0)
         return out
 
-    def shares(self, gains: np.ndarray) -> np.ndarray:
-        """Share of each subject in a document's sentences about any, from the sentences' gains."""
+    def shares(self, gains: np.ndarray, all_covered: bool = False) -> np.ndarray:
+        """Share of each subject in a document's sentences about any, from the sentences' gains.
+
+        ``all_covered`` asks for ``LEAST_COVER`` of texts with clear sentences too.
+        """
         k = len(self.subjects)
         counts = np.zeros(k)
         if not k or not len(gains):
@@ -150,8 +154,10 @@ class SubjectModels:
             best = np.argmax(gains + lean, axis=1)
             clear = gains[np.arange(len(gains)), best] >= self.least_gain
             counts = np.bincount(best[clear], minlength=k).astype(float)
-        # Remains of pages hold a word of some subject here and there.
-        return counts / counts.sum() if counts.sum() >= LEAST_COVER * len(gains) and counts.any() else np.zeros(k)
+        # Remains of pages hold a word of some subject here and there, but no sentence that is clear by itself.
+        clear_alone = not all_covered and gains.max() >= max(_CLEAR * self.unit, self.least_gain)
+        enough = clear_alone or counts.sum() >= LEAST_COVER * len(gains)
+        return counts / counts.sum() if enough and counts.any() else np.zeros(k)
 
     def accept_all(self, texts: Sequence[str | None]) -> list[list[str]]:
         """The accepted subjects of each text."""
@@ -207,7 +213,8 @@ def calibrate(models: SubjectModels, gains: np.ndarray, docs: Sequence[tuple[int
     names = models.subjects
     for gain in (level * models.unit for level in _LEVELS):
         models.least_gain = gain
-        shares = [models.shares(gains[lo:hi]) for lo, hi, _ in docs]
+        # Labelled texts are about their subjects throughout: a level at which they lose cover misses weaker sentences.
+        shares = [models.shares(gains[lo:hi], all_covered=True) for lo, hi, _ in docs]
         for share in (0.2, 0.225, 0.25, 0.275, 0.3):
             hit = told = true = 0
             for x, (_, _, labels) in zip(shares, docs, strict=True):

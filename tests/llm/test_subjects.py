@@ -24,6 +24,12 @@ def test_held_out_texts():
     assert models.accept_all([passing]) == [["pets"]]
 
 
+def test_clear_sentences_amid_plain_ones():
+    models = train(labelled(), list(WORDS))
+    fill = " Prices may change without a note. Orders leave within two days."
+    assert models.accept_all([text("law", 1, 51) + fill, fill * 20 + text("pets", 1, 61) + fill * 20, fill * 9]) == [["law"], ["pets"], []]
+
+
 def test_tables(spark):
     docs = [(i, t) for i, (t, _) in enumerate(labelled())] + [(900, None), (901, " "), (902, text("music", 5, 200)), (902, text("music", 5, 200))]
     labels = [(i, next(iter(s)), "a") for i, (_, s) in enumerate(labelled())] + [(None, "law", "a"), (1, None, "b"), (0, "law", "c"), (77777, "pets", "a")]
