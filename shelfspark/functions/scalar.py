@@ -22,6 +22,8 @@ CURRENCY_SIGNS = (
 TITLE_SIZES = ("S", "M", "L", "XL", "XXL", "SMALL", "MEDIUM", "LARGE", "2XL", "3XL")
 # Elements whose content is no text of the product.
 NOISE_ELEMENTS = "script|style|noscript|nav|footer|aside|form|svg|iframe"
+# White space, with that beyond ASCII.
+SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
 # Entities that shop pages use, the ampersand last.
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
 
@@ -69,7 +71,7 @@ def discount_percentage(original: Column, sale: Column) -> Column:
 
 def minor_units(text: Column) -> Column:
     """A store interface's amount: more than three characters without a point are hundredths."""
-    number = text.try_cast("double")
+    number = normalize_price(text)
     return F.when((F.length(text) > 3) & ~F.contains(text, F.lit(".")), number / 100).otherwise(number)
 
 
@@ -129,9 +131,10 @@ def price_relation(price: Column, sale: Column, original: Column) -> Column:
 
 
 def clean_anchor_title(text: Column) -> Column:
-    t = F.regexp_replace(text, r"(?i)^\s*top pick\s*", "")
-    t = F.regexp_replace(t, r"(?i)\s*opens? in (?:a )?new tab\.?\s*$", "")
-    t = F.regexp_replace(t, r"\s+", " ")
+    """Link text without the badge before it and the hint behind it; any white space, of any script, counts as one space."""
+    t = F.regexp_replace(text, rf"(?i)^{SPACE}*top{SPACE}*pick{SPACE}*", "")
+    t = F.regexp_replace(t, rf"(?i){SPACE}*opens?{SPACE}+in{SPACE}+(?:a{SPACE}+)?new{SPACE}+tab\.?{SPACE}*$", "")
+    t = F.regexp_replace(t, rf"{SPACE}+", " ")
     return F.regexp_replace(t, r"^[ ,|\-]+|[ ,|\-]+$", "")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from shelfspark.functions import scalar, urls
 from shelfspark.functions.images import image_fields
 from shelfspark.operators import dataset
+from shelfspark.operators.packed import split_values
 from shelfspark.plans.normalize import normalize_records
 from shelfspark.session import load_table
 from shelfspark.sources import sinks, storefront
@@ -222,6 +223,12 @@ def minor_units(spark, d):
     return p.select("row_id", scalar.minor_units(F.col("price")).alias("amount"))
 
 
+@query()
+def minor_units_every_row(spark, d):
+    """The same over every price. SQL is left out; a fixture is tested by brute force."""
+    return load_table(spark, d, "products").select("row_id", scalar.minor_units(F.col("price")).alias("amount"))
+
+
 _FABRIC_LIST = "[" + ", ".join(f"'{f}'" for f in scalar.FABRICS) + "]"
 
 
@@ -240,6 +247,13 @@ def anchor_title(spark, d):
     return p.select("row_id", scalar.clean_anchor_title(F.concat(F.lit("Top pick "), "product_name", F.lit(" Opens in new tab."))).alias("title_of"))
 
 
+@query()
+def anchor_title_every_row(spark, d):
+    """The same over every name, in any script and with any white space, which SQL can't follow."""
+    name = F.concat(F.lit("Top pick "), "product_name", F.lit(" Opens in new tab."))
+    return load_table(spark, d, "products").select("row_id", scalar.clean_anchor_title(name).alias("title_of"))
+
+
 @query(r"SELECT row_id, list_filter(list_transform(string_split(tags, ','), lambda t: regexp_replace(t, '^\s+|\s+$', '', 'g')), lambda t: t <> '') AS tag_list FROM products WHERE tags IS NOT NULL")
 def tag_list(spark, d):
     return load_table(spark, d, "products").filter("tags is not null").select("row_id", scalar.tag_list(F.col("tags")).alias("tag_list"))
@@ -300,6 +314,16 @@ def image_lists(spark, d):
     return p.select("row_id", shown.alias("i")).select("row_id", "i.main_image", "i.additional_images", "i.all_images")
 
 
+@query()
+def image_lists_every_row(spark, d):
+    """The same over every row, however its images are packed, which SQL can't follow; rows without an image have blanks."""
+    p = load_table(spark, d, "products").select("row_id", "all_images")
+    placed = F.array_sort(F.collect_list(F.struct("item_pos", "item_value")))
+    lists = split_values(p, "row_id", ["all_images"]).groupBy("row_id").agg(F.transform(placed, lambda x: x["item_value"]).alias("listed"))
+    shown = image_fields(F.col("listed"), F.lit("https://x.example"))
+    return p.select("row_id").join(lists, "row_id", "left").select("row_id", shown.alias("i")).select("row_id", "i.main_image", "i.additional_images", "i.all_images")
+
+
 # Records.
 
 
