@@ -71,17 +71,28 @@ def article_codes(key: Column) -> Column:
     return F.transform(F.regexp_extract_all(key, F.lit(_CODE), F.lit(0)), lambda c: F.regexp_replace(c, r"[ ./-]", ""))
 
 
-def _base_value(m: Column) -> Column:
-    number = F.replace(F.regexp_extract(m, r"(\d+(?:[.,]\d+)?)", 1), F.lit(","), F.lit(".")).cast("double")
-    unit = F.regexp_replace(F.trim(F.regexp_replace(m, r"^\d+(?:[.,]\d+)? ?-?", "")), r"\s+", " ")
-    kind, size = F.lit("pc"), F.lit(1.0)
-    for pattern, k, s in reversed(UNITS):
-        hit = unit.rlike(f"^(?:{pattern})$")
-        kind, size = F.when(hit, F.lit(k)).otherwise(kind), F.when(hit, F.lit(s)).otherwise(size)
-    value = number * size
-    # Two significant digits, so that 22.05 lbs and 10 kg meet.
-    power = F.pow(F.lit(10.0), F.floor(F.log10(value)) - 1)
-    return F.when(value > 0, F.concat(kind, F.lit(":"), (F.round(value / power) * power).cast("decimal(24,4)").cast("string")))
+def _base_values(found: Column) -> Column:
+    """Base values of quantities, in steps of one array each, since a lambda computes an expression anew wherever it stands."""
+
+    def parts(m: Column) -> Column:
+        number = F.replace(F.regexp_extract(m, r"(\d+(?:[.,]\d+)?)", 1), F.lit(","), F.lit(".")).cast("double")
+        unit = F.regexp_replace(F.trim(F.regexp_replace(m, r"^\d+(?:[.,]\d+)? ?-?", "")), r"\s+", " ")
+        return F.struct(number.alias("number"), unit.alias("unit"))
+
+    def measure(p: Column) -> Column:
+        out = F.struct(F.lit("pc").alias("kind"), p["number"].alias("value"))
+        for pattern, k, s in reversed(UNITS):
+            of = F.struct(F.lit(k).alias("kind"), (p["number"] * s).alias("value"))
+            out = F.when(p["unit"].rlike(f"^(?:{pattern})$"), of).otherwise(out)
+        return out
+
+    def rounded(m: Column) -> Column:
+        # Two significant digits, so that 22.05 lbs and 10 kg meet.
+        power = F.pow(F.lit(10.0), F.floor(F.log10(m["value"])) - 1)
+        value = (F.round(m["value"] / power) * power).cast("decimal(24,4)").cast("string")
+        return F.when(m["value"] > 0, F.concat(m["kind"], F.lit(":"), value))
+
+    return F.transform(F.transform(F.transform(found, parts), measure), rounded)
 
 
 def quantities(key: Column) -> Column:
@@ -92,7 +103,7 @@ def quantities(key: Column) -> Column:
     words = F.when(F.contains(key, F.lit("piece")) | F.contains(key, F.lit("pc")), spelled).otherwise(key)
     counted = F.regexp_replace(words, r"(?<!\p{L})(?:set|pack|box) of (\d+)(?!\p{N})", "$1 piece")
     words = F.when(F.contains(key, F.lit(" of ")), counted).otherwise(words)
-    return F.array_compact(F.transform(F.regexp_extract_all(words, F.lit(_QUANTITY), F.lit(0)), _base_value))
+    return F.array_compact(_base_values(F.regexp_extract_all(words, F.lit(_QUANTITY), F.lit(0))))
 
 
 def accessory_of(key: Column) -> Column:
