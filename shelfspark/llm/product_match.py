@@ -1,13 +1,14 @@
 """Listings of different shops that describe one item: title combination voting.
 
-Captures of one listing are pooled first. From the pooled titles and texts come typed tokens: brand, article code, quantity in
-a base unit, and words. Each listing generates the combinations of its brand with an article code, or with a word that
-tells brands apart, with and without the quantity. A combination scores by its length, its average position in the
-titles and its frequency over all listings; each listing votes for its best one per kind. Clusters of one combination
-are verified (same quantity, same accessory, no two article codes) and merged through listings that hold both kinds.
+Captures of one listing are pooled first. From the pooled titles and texts come tokens with their positions: brand, words, codes (any
+token of letters and digits that is no measure) and quantities in a base unit. Tokens that don't tell brands apart take no part.
+Each listing keeps its best word, code and quantity by the score of their combination with the brand, and from these generates all
+k-combinations with the brand (k = 2 to 4). A combination scores by its length, the average position of its tokens and its
+frequency over all listings; each listing votes for its best one. Elected combinations are verified over all listings that hold them (one code
+and one quantity), and the clusters of verified combinations that one listing holds are merged.
 
 No pairs are compared: groups form by equi-joins on combinations, statistics combine before the shuffle, and pairs are only
-written at the end, since the result is defined as pairs.
+written at the end, since the result is defined as pairs; :func:`same_item_classes` gives classes instead.
 
 Null and blank titles, listings without brand, or with neither a code nor a word of their own, stay alone. Ties between
 combinations are broken by the combination itself. Copies of a row fall into its listing.
@@ -17,33 +18,35 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfspark.functions.listing import shop_key
 from shelfspark.functions.plain import fold_lookalikes, is_stand_in, squeeze, strip_accents
 from shelfspark.llm.survivors import listing_groups
 from shelfspark.operators.graph import connected_components
-from shelfspark.session import materialize, release_shuffles
-
-# Units of sale, their kind and how many base units they hold (g, ml, mm, W, mAh, GB, pieces).
-UNITS: tuple[tuple[str, str, float], ...] = (
-    ("fl\\.? ?oz|fluid ounces?", "ml", 29.5735), ("kg|kilos?|kilograms?", "g", 1000.0), ("lbs?|pounds?", "g", 453.592), ("oz|ounces?", "g", 28.3495),
-    ("g|grams?|gr", "g", 1.0), ("ml|millilit(?:re|er)s?", "ml", 1.0), ("cl", "ml", 10.0), ("l|ltr|lit(?:re|er)s?", "ml", 1000.0), ("mm|millimet(?:re|er)s?", "mm", 1.0),
-    ("cm|centimet(?:re|er)s?", "mm", 10.0), ("m|met(?:re|er)s?", "mm", 1000.0), ("inch(?:es)?|in|\"|''|”", "mm", 25.4), ("ft|feet|foot", "mm", 304.8),
-    ("kw|kilowatts?", "w", 1000.0), ("w|watts?", "w", 1.0), ("mah|milliamp hours?", "mah", 1.0), ("ah|amp hours?", "mah", 1000.0), ("tb|terabytes?", "gb", 1000.0),
-    ("gb|gigabytes?", "gb", 1.0), ("mb|megabytes?", "gb", 0.001), ("pcs?|pieces?|pce", "pc", 1.0),
+from shelfspark.operators.skew import join_hot
+from shelfspark.session import materialize
+
+# Units of sale, their kind, how many base units they hold (g, ml, mm, W, mAh, GB, pieces), and whether a number in them is rounded.
+UNITS: tuple[tuple[str, str, float, bool], ...] = (
+    ("fl\\.? ?oz|fluid ounces?", "ml", 29.5735, True), ("kg|kilos?|kilograms?", "g", 1000.0, False), ("lbs?|pounds?", "g", 453.592, True), ("oz|ounces?", "g", 28.3495, True),
+    ("g|grams?|gr", "g", 1.0, False), ("ml|millilit(?:re|er)s?", "ml", 1.0, False), ("cl", "ml", 10.0, False), ("l|ltr|lit(?:re|er)s?", "ml", 1000.0, False), ("mm|millimet(?:re|er)s?", "mm", 1.0, False),
+    ("cm|centimet(?:re|er)s?", "mm", 10.0, False), ("m|met(?:re|er)s?", "mm", 1000.0, False), ("inch(?:es)?|in|\"|''|”", "mm", 25.4, True), ("ft|feet|foot", "mm", 304.8, True),
+    ("kw|kilowatts?", "w", 1000.0, False), ("w|watts?", "w", 1.0, False), ("mah|milliamp hours?", "mah", 1.0, False), ("ah|amp hours?", "mah", 1000.0, False), ("tb|terabytes?", "gb", 1000.0, False),
+    ("gb|gigabytes?", "gb", 1.0, False), ("mb|megabytes?", "gb", 0.001, False), ("pcs?|pieces?|pce", "pc", 1.0, False),
 )
 _NUMBER_WORDS = ("one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve")
-#: How far behind the title the words of a description count.
+#: How far behind the title the tokens of a description count.
 BEHIND_TITLE = 12
-#: How far above chance two listings with a word must be of one brand, from 0 (as by chance) to 1 (always).
+#: How far above chance two listings with a token must be of one brand, from 0 (as by chance) to 1 (always).
 LEAST_EXCESS = 0.1
 #: Words in at least this many rows, and one of so many rows, that don't tell brands apart are dropped before they move.
 COMMON_FROM, COMMON_PART = 100, 20_000
-_UNIT = "|".join(u for u, _, _ in UNITS)
+#: Rows of a cluster that one task pairs with all others of it.
+PAIRED_AT_ONCE = 500
+_UNIT = "|".join(u for u, *_ in UNITS)
 _QUANTITY = rf"(?=\d)(?<![\p{{L}}\p{{N}}./])(\d+(?:[.,]\d+)?) ?-?(?:{_UNIT})(?![\p{{L}}\p{{N}}])"
-_COUNTED = rf"(?:(?:set|pack|box) of|{'|'.join(_NUMBER_WORDS)})"
 # What is sold for an item rather than being it.
 _ACCESSORY = (
     r"^((?:\p{L}+ ){0,4}?(?:lid|brush|case|kit|cover|strap|filter|part|parts|bag|pouch|charger|adapter|stand|holder|sleeve|refill|handle|blade|hose|mount|protector|battery|accessor(?:y|ies)))"
@@ -51,14 +54,23 @@ _ACCESSORY = (
 )
 # Company forms at the end of a brand.
 _COMPANY = r"[ ,]+(?:co|company|gmbh|ltd|limited|inc|llc|corp|srl|sl|sa|spa|ag|kg|bv|plc|pty)\.?$"
-# Two letters and five digits that aren't the number of a measure.
-_CODE = rf"(?=[a-z]{{2}}[ ./-]?\d)(?<![\p{{L}}\p{{N}}])([a-z]{{2}})[ ./-]?(\d{{5}})(?![\p{{L}}\p{{N}}]|[.,]\d| ?-?(?:{_UNIT})(?![\p{{L}}\p{{N}}]))"
+_COMPANY_WORDS = tuple(_COMPANY.split("(?:")[1].split(")")[0].split("|"))
+_NO_UNIT = rf"(?! ?-?(?:{_UNIT})(?![\p{{L}}\p{{N}}]))"
+# A short word and a number of at least three digits behind it, maybe with a mark or space between, or letters and digits in one; no measure.
+_CODE = (
+    r"(?=[a-z]{0,5}[ ./_-]?\d)(?<![\p{L}\p{N}.,/_-])"
+    rf"(?:(?:(?!(?:{_UNIT}) )[a-z]{{1,3}} |[a-z]{{1,5}}[./_-]?)\d{{3,10}}(?!\d){_NO_UNIT}(?:(?<! \d{{3,10}})[a-z]{{1,3}}|)|\d{{1,6}}{_NO_UNIT}[a-z]{{1,4}}\d+[a-z0-9]*|\d{{7,14}}(?!\d){_NO_UNIT})(?![\p{{L}}\p{{N}}]|[.,]\d)"
+)
 
 
 def plain_key(text: Column) -> Column:
-    """Lower case, plain characters, no accents, hyphens between letters closed."""
-    key = strip_accents(F.lower(fold_lookalikes(text)))
-    return F.regexp_replace(F.regexp_replace(squeeze(key), r"(?<=\p{L}{2})-(?=\p{L})", ""), "oe", "o")
+    """Lower case, plain characters, umlauts as two letters, no other accents, hyphens between letters closed."""
+    key = F.lower(fold_lookalikes(text))
+    spelled = F.regexp_replace(key, "([aou])\u0308", "$1e")
+    for mark, letters in (("ä", "ae"), ("ö", "oe"), ("ü", "ue")):
+        spelled = F.replace(spelled, F.lit(mark), F.lit(letters))
+    key = F.when(key.rlike("[äöü\u0308]"), spelled).otherwise(key)
+    return F.regexp_replace(squeeze(strip_accents(key)), r"(?<=\p{L}{2})-(?=\p{L})", "")
 
 
 def brand_key(text: Column) -> Column:
@@ -68,31 +80,41 @@ def brand_key(text: Column) -> Column:
 
 
 def article_codes(key: Column) -> Column:
-    return F.transform(F.regexp_extract_all(key, F.lit(_CODE), F.lit(0)), lambda c: F.regexp_replace(c, r"[ ./-]", ""))
+    return F.transform(F.regexp_extract_all(key, F.lit(_CODE), F.lit(0)), lambda c: F.regexp_replace(c, r"[ ./_-]", ""))
+
+
+def sku_codes(sku: Column) -> Column:
+    """A number of the shop with each ending of the letters before its digits; only what some text says counts as a code."""
+    bare = F.regexp_replace(F.lower(sku), r"[^a-z0-9]+", "")
+    letters = F.length(F.regexp_extract(bare, r"^([a-z]*)\d{3,10}$", 1))
+    endings = F.transform(F.sequence(F.lit(0), letters - 1), lambda i: F.substring(bare, i + 1, F.length(bare)))
+    return F.when(bare.rlike(r"^[a-z]{1,12}\d{3,10}$"), endings).otherwise(F.array().cast("array<string>"))
 
 
 def _base_values(found: Column) -> Column:
     """Base values of quantities, in steps of one array each, since a lambda computes an expression anew wherever it stands."""
 
     def parts(m: Column) -> Column:
-        number = F.replace(F.regexp_extract(m, r"(\d+(?:[.,]\d+)?)", 1), F.lit(","), F.lit(".")).cast("double")
+        number = F.replace(F.regexp_extract(m, r"(\d+(?:[.,]\d+)?)", 1), F.lit(","), F.lit("."))
         unit = F.regexp_replace(F.trim(F.regexp_replace(m, r"^\d+(?:[.,]\d+)? ?-?", "")), r"\s+", " ")
-        return F.struct(number.alias("number"), unit.alias("unit"))
+        step = F.pow(F.lit(10.0), -F.length(F.regexp_extract(number, r"\.(\d+)$", 1)))
+        return F.struct(number.cast("double").alias("number"), step.alias("step"), unit.alias("unit"))
 
     def measure(p: Column) -> Column:
-        out = F.struct(F.lit("pc").alias("kind"), p["number"].alias("value"))
-        for pattern, k, s in reversed(UNITS):
-            of = F.struct(F.lit(k).alias("kind"), (p["number"] * s).alias("value"))
-            out = F.when(p["unit"].rlike(f"^(?:{pattern})$"), of).otherwise(out)
+        out = F.struct(F.lit("pc").alias("kind"), p["number"].alias("value"), F.lit(0.0).alias("off"))
+        for pattern, k, s, rounded in reversed(UNITS):
+            off = F.least(p["step"] * s / 2, p["number"] * s / 100) if rounded else F.lit(0.0)
+            out = F.when(p["unit"].rlike(f"^(?:{pattern})$"), F.struct(F.lit(k).alias("kind"), (p["number"] * s).alias("value"), off.alias("off"))).otherwise(out)
         return out
 
-    def rounded(m: Column) -> Column:
-        # Two significant digits, so that 22.05 lbs and 10 kg meet.
-        power = F.pow(F.lit(10.0), F.floor(F.log10(m["value"])) - 1)
-        value = (F.round(m["value"] / power) * power).cast("decimal(24,4)").cast("string")
-        return F.when(m["value"] > 0, F.concat(m["kind"], F.lit(":"), value))
+    def named(m: Column) -> Column:
+        # Metric numbers stand as they are; of what a rounded number can stand for, the roundest metric one.
+        low, high = m["value"] - m["off"], m["value"] + m["off"]
+        round_ones = (F.when(F.ceil(low / 10.0**j) * 10.0**j <= high, F.ceil(low / 10.0**j) * 10.0**j) for j in range(5, -3, -1))
+        value = F.when(m["off"] == 0, m["value"]).otherwise(F.coalesce(*round_ones, m["value"]))
+        return F.when(m["value"] > 0, F.concat(m["kind"], F.lit(":"), F.round(value, 3).cast("decimal(24,3)").cast("string")))
 
-    return F.transform(F.transform(F.transform(found, parts), measure), rounded)
+    return F.transform(F.transform(F.transform(found, parts), measure), named)
 
 
 def quantities(key: Column) -> Column:
@@ -111,146 +133,185 @@ def accessory_of(key: Column) -> Column:
     return F.regexp_extract(key, _ACCESSORY, 1)
 
 
-def _most_frequent(df: DataFrame, by: str, value: str, weight: str, out: str) -> DataFrame:
-    """(by, out): the value with the greatest total weight, then the least value."""
-    totals = df.groupBy(by, value).agg(F.sum(weight).alias("_w"))
-    best = F.min(F.struct((-F.col("_w")).alias("w"), F.col(value).alias("v")))
-    return totals.groupBy(by).agg(best["v"].alias(out))
-
-
 def brand_excess(pairs: DataFrame, brands: DataFrame) -> DataFrame:
-    """(word, n, excess) from the counts ``f2`` of brand and word, and of brands alone.
+    """(token, n, excess) from the counts ``f2`` of brand and token, and of brands alone.
 
-    The excess is that of the chance that two uses of the word are of one brand over the same for any two.
+    The excess is that of the chance that two uses of the token are of one brand over the same for any two.
     """
     f2, n = F.col("f2"), F.col("n")
-    words = pairs.groupBy("word").agg(F.sum("f2").alias("n"), F.sum(f2 * (f2 - 1)).alias("same"), F.max("f2").alias("most"))
+    tokens = pairs.groupBy("token").agg(F.sum("f2").alias("n"), F.sum(f2 * (f2 - 1)).alias("same"), F.max("f2").alias("most"))
     chance = brands.agg((F.sum(f2 * (f2 - 1)) / F.greatest(F.sum("f2") * (F.sum("f2") - 1), F.lit(1.0))).alias("chance"))
     excess = F.when(F.col("most") == n, 1.0).otherwise((F.col("same") / (n * (n - 1)) - F.col("chance")) / (1 - F.col("chance")))
-    return words.crossJoin(F.broadcast(chance)).select("word", "n", excess.alias("excess"))
+    return tokens.crossJoin(F.broadcast(chance)).select("token", "n", excess.alias("excess"))
 
 
 def common_words(said: DataFrame) -> DataFrame:
-    """(word): frequent words far from telling brands apart, at most ``COMMON_PART`` times the words of a row; `vote` has no use for them."""
+    """(token): frequent words far from telling brands apart, at most ``COMMON_PART`` times the words of a row; `vote` has no use for them."""
     told = said.filter("brand is not null and accessory = ''")
-    each = F.explode(F.array_distinct(F.concat("title_words", "body_words"))).alias("word")
-    pairs = told.select("brand", each).filter(F.length("word") >= 5).groupBy("brand", "word").agg(F.count("*").cast("double").alias("f2"))
+    each = F.explode(F.array_distinct(F.concat(_words("title"), _words("body")))).alias("token")
+    pairs = told.select("brand", each).groupBy("brand", "token").agg(F.count("*").cast("double").alias("f2"))
     brands = told.groupBy("brand").agg(F.count("*").cast("double").alias("f2"))
     rows = F.broadcast(brands.agg(F.sum("f2").alias("rows")))
     often = F.col("n") >= F.greatest(F.lit(float(COMMON_FROM)), F.col("rows") / COMMON_PART)
-    return brand_excess(pairs, brands).crossJoin(rows).filter(often & (F.col("excess") < LEAST_EXCESS / 2)).select("word")
+    return brand_excess(pairs, brands).crossJoin(rows).filter(often & (F.col("excess") < LEAST_EXCESS / 2)).select("token")
+
 
+def _words(column: str) -> Column:
+    """Words of two letters or more."""
+    return F.split(column, r"(?:[^\p{L}]+|(?<!\p{L})\p{L}(?!\p{L}))+")
 
-def listing_evidence(df: DataFrame, groups: DataFrame) -> DataFrame:
-    """(listing, shop, brand, accessory, code, quantity, words): what the captures of each listing say, by majority."""
+
+def said_by_rows(df: DataFrame) -> DataFrame:
+    """What each row says: brand, accessory, codes and quantities by where they stand, and the texts that its words are taken from."""
     name = F.when(is_stand_in(F.col("product_name")), F.col("title")).otherwise(F.col("product_name"))
-    body = F.coalesce("description", F.lit(""))
     columns = ("row_id", "source_domain", "sku", "product_name", "title", "description", "brand", "vendor", "specifications")
     rows = df.select(*columns).select(
         "row_id",
         shop_key(F.col("source_domain")).alias("shop"),
         F.coalesce(brand_key(F.col("brand")), brand_key(F.col("vendor"))).alias("brand"),
         plain_key(F.coalesce(name, F.lit(""))).alias("name"),
-        plain_key(body).alias("body"),
-        plain_key(F.coalesce("specifications", F.lit(""))).alias("specs"),
-        F.lower(F.coalesce("sku", F.lit(""))).alias("sku"),
+        plain_key(F.coalesce("description", F.lit(""))).alias("body"),
+        F.regexp_replace(plain_key(F.coalesce("specifications", F.lit(""))), r'\\*"', " ; ").alias("specs"),
+        F.coalesce("sku", F.lit("")).alias("sku"),
     )
-    sku_code = F.regexp_extract("sku", r"^(?:[a-z]{3}|)([a-z]{2}-?\d{5})$", 1)
     none = F.array().cast("array<string>")
-    rows = rows.select(
-        "row_id", "shop", "brand", "name", "body", "specs",
+    texts = F.concat_ws(" ; ", "body", "specs")
+    # Names behind a key of the text count as standing first.
+    keyed = F.regexp_extract_all("body", F.lit(r"(?:line|series|range) ?[:=-] ?(\p{L}{2,})"), F.lit(1))
+    return rows.select(
+        "row_id", "shop", "brand",
         accessory_of(F.col("name")).alias("accessory"),
         article_codes(F.col("name")).alias("name_codes"),
-        F.when(sku_code != "", F.array(F.replace(sku_code, F.lit("-"), F.lit("")))).otherwise(none).alias("sku_codes"),
+        F.when(texts.rlike(r"\d{3}"), article_codes(texts)).otherwise(none).alias("body_codes"),
+        sku_codes(F.col("sku")).alias("sku_codes"),
         quantities(F.col("name")).alias("name_quantities"),
-    )
-    # The texts below the title speak in every row; what a title or number says outweighs them.
-    texts = F.concat_ws(" ; ", "body", F.regexp_replace("specs", r'\\*"', " ; "))
-    series = F.regexp_extract_all("body", F.lit(r"(?:line|series|range) ?[:=-] ?(\p{L}{5,})"), F.lit(1))
-    said = rows.select(
-        "row_id", "shop", "brand", F.lit(1.0).alias("n"), "accessory", "name_codes", "sku_codes", "name_quantities",
-        F.when(texts.rlike(r"\d{5}"), article_codes(texts)).otherwise(none).alias("body_codes"),
         quantities(texts).alias("body_quantities"),
         F.regexp_replace("name", _CODE, " ").alias("title"),
-        F.array_join(series, " ").alias("keyed"),
-        F.col("body").alias("below"),
+        F.array_join(keyed, " ").alias("keyed"),
+        "body",
     )
-    # Only what was read from the texts moves to its listing, not the texts; texts take a fraction of the room of arrays of words.
-    said = materialize(said.join(groups.select("row_id", F.col("group_row_id").alias("listing")), "row_id").drop("row_id"))
-    release_shuffles(df.sparkSession)
-    said = said.withColumn("title_words", F.split("title", r"[^\p{L}]+")).withColumn("body_words", F.split("below", r"[^\p{L}]+")).withColumn("keyed_words", F.split("keyed", " "))
-
-    def votes(*pairs: tuple[str, float]) -> DataFrame:
-        # A second parameter of the lambda would be the index.
-        def weighed(weight: float) -> Callable[[Column], Column]:
-            return lambda v: F.struct(v.alias("v"), (F.col("n") * weight).alias("w"))
-
-        arrays = [F.transform(F.col(c), weighed(w)) for c, w in pairs]
-        return said.select("listing", F.inline(F.concat(*arrays)))
-
-    base = said.groupBy("listing").agg(F.min("shop").alias("shop"), F.max("accessory").alias("accessory"))
-    brand = _most_frequent(said.filter("brand is not null"), "listing", "brand", "n", "brand")
-    code = _most_frequent(votes(("name_codes", 100.0), ("sku_codes", 10.0), ("body_codes", 1.0)), "listing", "v", "w", "code")
-    quantity = _most_frequent(votes(("name_quantities", 100.0), ("body_quantities", 1.0)), "listing", "v", "w", "quantity")
-    # Words with their first position; those of the text below the title count as far behind, those behind a key as its first.
-    below = [F.transform(c, lambda w, i: F.struct(w.alias("word"), (i + BEHIND_TITLE).cast("double").alias("pos"))) for c in ("keyed_words", "body_words")]
-    placed = F.concat(F.transform("title_words", lambda w, i: F.struct(w.alias("word"), i.cast("double").alias("pos"))), *below)
-    spread = said.select("listing", F.inline(placed)).filter(F.length("word") >= 5).join(F.broadcast(common_words(said)), "word", "left_anti")
-    words = spread.groupBy("listing", "word").agg(F.min("pos").alias("pos"))
-    named = said.select("listing", "n", F.explode("title_words").alias("word")).filter(F.length("word") >= 4)
-    # A listing whose captures name no brand takes a word of its titles that is a brand elsewhere.
-    brands = brand.select(F.col("brand").alias("word")).distinct()
-    guessed = _most_frequent(named.join(brand, "listing", "left_anti").join(brands, "word", "left_semi"), "listing", "word", "n", "guess")
-    out = base.join(brand, "listing", "left").join(guessed, "listing", "left").withColumn("brand", F.coalesce("brand", "guess")).drop("guess")
-    out = out.join(code, "listing", "left").join(quantity, "listing", "left")
-    collected = words.groupBy("listing").agg(F.collect_list(F.struct("word", "pos")).alias("words"))
-    return out.join(collected, "listing", "left").filter("brand is not null")
-
-
-def vote(evidence: DataFrame) -> DataFrame:
-    """(listing, shop, brand, accessory, code, quantity, word): ``word`` is the one of the listing's best combination with its brand.
-
-    Candidates are words that tell brands apart: that two listings with the word are of one brand must exceed what the mix of
-    brands gives by chance. Words of one brand have an excess of 1, names that two brands use about a half, and the words of a trade
-    about 0; a few rows of other brands change it little. The score of a combination is length² / (1 + position) · log(frequency),
-    where the quantity makes the combination longer, by the excess and by the part of the word's listings that are of the brand.
+
+
+def listing_tokens(df: DataFrame, groups: DataFrame) -> DataFrame:
+    """(listing, kind, token, pos, weight, told): the tokens of each listing with their first position, over all its captures.
+
+    Kinds are shop, brand, accessory, quantity, code and word; ``told`` says that a text holds the token.
+    """
+    said = said_by_rows(df).join(groups.select("row_id", F.col("group_row_id").alias("listing")), "row_id").drop("row_id")
+    said = materialize(said)
+
+    def tokens(kind: str, of: Column, start: int, weight: float, told: bool = True) -> Column:
+        each: Callable[[Column, Column], Column] = lambda t, i: F.struct(
+            F.lit(kind).alias("kind"), t.alias("token"), (i + start).cast("double").alias("pos"), F.lit(weight).alias("weight"), F.lit(told).alias("told")
+        )
+        return F.transform(of, each)
+
+    sorts = [
+        tokens("shop", F.array("shop"), 0, 1.0), tokens("brand", F.array("brand"), 0, 1.0), tokens("accessory", F.array(F.nullif("accessory", F.lit(""))), 0, 1.0),
+        tokens("quantity", F.col("name_quantities"), 0, 100.0), tokens("quantity", F.col("body_quantities"), BEHIND_TITLE, 1.0),
+        tokens("code", F.col("name_codes"), 0, 1.0), tokens("code", F.col("body_codes"), BEHIND_TITLE, 1.0), tokens("code", F.col("sku_codes"), BEHIND_TITLE // 2, 1.0, False),
+        tokens("word", _words("title"), 0, 1.0), tokens("word", _words("keyed"), BEHIND_TITLE, 1.0), tokens("word", _words("body"), BEHIND_TITLE, 1.0),
+    ]
+    each = said.select("listing", F.inline(F.concat(*sorts))).filter("token is not null and token <> ''")
+    each = each.join(F.broadcast(common_words(said)).withColumn("kind", F.lit("word")), ["kind", "token"], "left_anti")
+    return each.groupBy("listing", "kind", "token").agg(F.min("pos").alias("pos"), F.sum("weight").alias("weight"), F.max("told").alias("told"))
+
+
+def listing_heads(tokens: DataFrame) -> DataFrame:
+    """(listing, shop, brand, accessory, quantity): by majority of the captures; a listing that names no brand takes a word of its titles that is one elsewhere."""
+
+    def most(kind: str) -> Column:
+        return F.min(F.when(F.col("kind") == kind, F.struct((-F.col("weight")).alias("w"), F.col("token").alias("v"))))["v"].alias(kind)
+
+    heads = tokens.filter("kind in ('shop', 'brand', 'accessory', 'quantity')").groupBy("listing").agg(most("shop"), most("brand"), most("accessory"), most("quantity"))
+    heads = materialize(heads)
+    brands = heads.select(F.col("brand").alias("token")).filter("token is not null").distinct()
+    named = tokens.filter((F.col("kind") == "word") & (F.col("pos") < BEHIND_TITLE))
+    guess = named.join(heads.filter("brand is null").select("listing"), "listing", "left_semi").join(brands, "token", "left_semi")
+    guess = guess.groupBy("listing").agg(F.min(F.struct((-F.col("weight")).alias("w"), "token"))["token"].alias("guess"))
+    return heads.join(guess, "listing", "left").withColumn("brand", F.coalesce("brand", "guess")).drop("guess").filter("brand is not null")
+
+
+def best_tokens(tokens: DataFrame, heads: DataFrame) -> DataFrame:
+    """(listing, word, code and their positions): the tokens of the best combinations of two with the brand.
+
+    Candidates are tokens that tell brands apart: that two listings with the token are of one brand must exceed what the mix of
+    brands gives by chance. Tokens of one brand have an excess of 1, names that two brands use about a half, and the words of a trade
+    about 0; a few rows of other brands change it little. The score is length² / (1 + position) · log(frequency), by the excess and by the part
+    of the token's listings that are of the brand; the position is the mean of the listing's own and of all with the pair.
     """
-    said = evidence.filter("accessory = ''").select("listing", "brand", "quantity", F.inline("words")).filter("word <> brand")
-    # Counts in doubles, whose products can't overflow.
-    pairs = said.groupBy("brand", "word").agg(F.count("*").cast("double").alias("f2"), F.avg("pos").alias("p2"))
-    brands = evidence.filter("accessory = ''").groupBy("brand").agg(F.count("*").cast("double").alias("f2"))
+    said = tokens.filter("kind in ('word', 'code')").join(heads.select("listing", "brand", "accessory"), "listing").filter((F.col("token") != F.col("brand")) & ~F.col("token").isin(*_COMPANY_WORDS))
+    # Counts in doubles, whose products can't overflow. An accessory repeats the tokens of another item.
+    own = F.col("accessory").isNull()
+    pairs = said.filter(own).groupBy("brand", "kind", "token").agg(F.count("*").cast("double").alias("f2"), F.avg("pos").alias("p2"), F.max("told").alias("told"))
+    pairs = pairs.filter("told").drop("told")
+    brands = heads.filter("accessory is null").groupBy("brand").agg(F.count("*").cast("double").alias("f2"))
     telling = brand_excess(pairs, brands).filter(F.col("excess") >= LEAST_EXCESS)
-    weighed = pairs.join(telling, "word").select("brand", "word", "f2", "p2", (F.col("excess") * F.col("f2") / F.col("n")).alias("weight"))
-    own = said.join(weighed, ["brand", "word"])
-    triples = own.filter("quantity is not null").groupBy("brand", "word", "quantity").agg(F.count("*").alias("f3"), F.avg("pos").alias("p3"))
-    scored = own.join(triples, ["brand", "word", "quantity"], "left")
-    score = F.col("weight") * F.greatest(4.0 / (1.0 + F.col("p2")) * F.log("f2"), F.coalesce(9.0 / (1.0 + F.col("p3")) * F.log("f3"), F.lit(0.0)))
-    # Few titles hold a word in one place: the length of the word breaks near ties between combinations of one listing.
-    best = scored.groupBy("listing").agg(F.min(F.struct((-F.round(score, 6)).alias("s"), F.col("word").alias("word")))["word"].alias("word"))
-    return evidence.drop("words").join(best, "listing", "left")
+    # What a single listing says groups nothing, but a code in its title tells it from others.
+    weighed = pairs.filter(f"f2 > 1 or kind = 'code' and p2 < {BEHIND_TITLE}").join(telling, "token").select("brand", "kind", "token", "f2", "p2", (F.col("excess") * F.col("f2") / F.col("n")).alias("weight"))
+    scored = join_hot(said.drop("weight"), weighed, ["brand", "kind", "token"], F.col("listing"))
+    score = F.col("weight") * 4.0 / (1.0 + (F.col("p2") + F.col("pos")) / 2) * F.log("f2")
+
+    def best(kind: str) -> Column:
+        # Titles vary where a word stands: the token itself breaks near ties between combinations of one listing.
+        ranked = F.struct((-F.round(score, 6)).alias("s"), "token", F.round("p2", 3).alias("pos"))
+        return F.min(F.when(F.col("kind") == kind, ranked)).alias(kind)
+
+    return scored.groupBy("listing").agg(best("word"), best("code")).select(
+        "listing", F.col("word")["token"].alias("word"), F.col("word")["pos"].alias("word_pos"), F.col("code")["token"].alias("code"), F.col("code")["pos"].alias("code_pos")
+    )
+
+
+def combinations(listings: DataFrame) -> DataFrame:
+    """(listing, combo, size, pos, code, quantity): all combinations of a listing's brand with its word, code and quantity that hold one of the first two.
+
+    Two hashes of 64 bits stand for a combination; code and quantity are hashes for comparison.
+    """
+    brand = F.concat_ws("|", "brand", F.coalesce("accessory", F.lit("")))
+    forms = []
+    for held in (("word",), ("code",), ("word", "code"), ("word", "quantity"), ("code", "quantity"), ("word", "code", "quantity")):
+        there = F.lit(True)
+        for h in held:
+            there = there & F.col(h).isNotNull()
+        name = F.concat_ws("|", brand, *(F.concat(F.lit(h[0] + ":"), F.col(h)) for h in held))
+        places = [F.col(f"{h}_pos") for h in held if h != "quantity"]
+        pos = sum(places[1:], places[0]) / len(places)
+        combo = F.struct(F.xxhash64(name).alias("a"), F.xxhash64(F.lit(7), name).alias("b"))
+        forms.append(F.when(there, F.struct(combo.alias("combo"), F.lit(1.0 + len(held)).alias("size"), pos.alias("pos"))))
+    hashed = (F.when(F.col(c).isNotNull(), F.xxhash64(c)).alias(c) for c in ("code", "quantity"))
+    return listings.select("listing", *hashed, F.inline(F.array_compact(F.array(*forms))))
+
+
+def elected_clusters(listings: DataFrame) -> DataFrame:
+    """(listing, cluster) from listings with their brand, accessory, word, code and quantity: vote, verification, merging."""
+    combos = materialize(combinations(listings))
+    counted = combos.groupBy("combo").agg(
+        F.count("*").alias("n"), F.avg("pos").alias("p"), *(f(c).alias(f"{c}_{f.__name__}") for c in ("code", "quantity") for f in (F.min, F.max))
+    )
+    # Verification: a combination under which two codes or two quantities stand is more than one item.
+    one_code = F.coalesce(F.col("code_min") == F.col("code_max"), F.lit(True))
+    one_quantity = F.coalesce(F.col("quantity_min") == F.col("quantity_max"), F.lit(True))
+    clear = counted.filter((F.col("n") > 1) & one_code & one_quantity).select("combo", "n", "p")
+    score = F.col("size") * F.col("size") / (1.0 + F.col("p")) * F.log(F.col("n").cast("double"))
+    held = join_hot(combos.select("listing", "combo", "size"), clear, ["combo"], F.col("listing"))
+    votes = held.groupBy("listing").agg(
+        F.min(F.struct((-F.round(score, 6)).alias("s"), "combo"))["combo"].alias("best"), F.sort_array(F.collect_list("combo")).alias("holds")
+    )
+    votes = materialize(votes)
+    # Listings that hold the same combinations are one item to the search; of these only elected ones link.
+    kinds = votes.groupBy("holds").agg(F.min("listing").alias("kind"))
+    elected = votes.select("best").distinct()
+    links = kinds.select("kind", F.explode("holds").alias("combo")).join(elected, F.col("combo") == F.col("best"), "left_semi")
+    merged = connected_components(links, "kind", "combo").select(F.col("item").alias("kind"), F.col("component").alias("cluster"))
+    return join_hot(votes.select("listing", "holds"), kinds.join(merged, "kind"), ["holds"], F.col("listing")).select("listing", "cluster")
 
 
 def match_listings(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(row_id to listing, listing to cluster)."""
     groups = materialize(listing_groups(df))
-    voted = materialize(vote(listing_evidence(df, groups)))
-    model = ["brand", "word"]
-    # A listing without quantity follows the only quantity of its model, if there is just one.
-    only = (
-        voted.filter("word is not null and accessory = ''").groupBy(*model)
-        .agg(F.min("quantity").alias("low"), F.max("quantity").alias("high")).filter("low = high").select(*model, F.col("low").alias("only"))
-    )
-    filled = voted.join(only, model, "left").withColumn("quantity", F.coalesce("quantity", "only")).drop("only")
-    # Verification: a combination under which two article codes stand is more than one item.
-    combos = filled.filter("word is not null and quantity is not null and accessory = ''")
-    unclear = (
-        combos.groupBy(*model, "quantity").agg(F.min("code").alias("low"), F.max("code").alias("high")).filter("low <> high").select(*model, "quantity")
-    )
-    clear = combos.join(unclear, [*model, "quantity"], "left_anti")
-    by_code = filled.filter("code is not null").select("listing", F.concat_ws("|", F.lit("c"), "brand", "accessory", "code").alias("key"))
-    by_word = clear.select("listing", F.concat_ws("|", F.lit("w"), "brand", "word", "quantity").alias("key"))
-    clusters = connected_components(by_code.unionByName(by_word), "listing", "key")
-    return groups, clusters.select(F.col("item").alias("listing"), F.col("component").alias("cluster"))
+    tokens = materialize(listing_tokens(df, groups))
+    heads = materialize(listing_heads(tokens))
+    return groups, elected_clusters(heads.join(best_tokens(tokens, heads), "listing"))
 
 
 def same_item_rows(df: DataFrame) -> DataFrame:
@@ -258,13 +319,26 @@ def same_item_rows(df: DataFrame) -> DataFrame:
     groups, clusters = match_listings(df)
     shops = df.select("row_id", shop_key(F.col("source_domain")).alias("shop"))
     rows = shops.join(groups, "row_id").join(clusters, F.col("group_row_id") == F.col("listing")).select("row_id", "cluster", "shop")
-    several = rows.groupBy("cluster").agg(F.min("shop").alias("low"), F.max("shop").alias("high")).filter("low <> high").select("cluster")
-    return rows.join(several, "cluster", "left_semi")
+    several = rows.groupBy("cluster").agg(F.min("shop").alias("low"), F.max("shop").alias("high"), F.count("*").alias("size")).filter("low <> high")
+    return join_hot(rows, several.select("cluster", "size"), ["cluster"], F.col("row_id"))
 
 
 def same_item_pairs(df: DataFrame) -> DataFrame:
-    """(row_id_a, row_id_b), smaller first: rows of different shops that describe the same item."""
-    rows = materialize(same_item_rows(df).distinct())
-    a = rows.select("cluster", F.col("row_id").alias("row_id_a"), F.col("shop").alias("shop_a"))
-    b = rows.select("cluster", F.col("row_id").alias("row_id_b"), F.col("shop").alias("shop_b"))
-    return a.join(b, "cluster").filter("row_id_a < row_id_b and shop_a <> shop_b").select("row_id_a", "row_id_b")
+    """(row_id_a, row_id_b), smaller first: rows of different shops that describe the same item.
+
+    A large cluster is split: each part of ``PAIRED_AT_ONCE`` rows meets all rows of the cluster in a task of its own.
+    """
+    rows = materialize(same_item_rows(df).distinct().withColumn("parts", F.ceil(F.col("size") / PAIRED_AT_ONCE).cast("int")))
+    part = F.pmod(F.xxhash64("row_id"), F.col("parts")).cast("int")
+    a = rows.select("cluster", part.alias("part"), F.col("row_id").alias("row_id_a"), F.col("shop").alias("shop_a"))
+    b = rows.select("cluster", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("row_id").alias("row_id_b"), F.col("shop").alias("shop_b"))
+    return a.join(b, ["cluster", "part"]).filter("row_id_a < row_id_b and shop_a <> shop_b").select("row_id_a", "row_id_b")
+
+
+def same_item_classes(df: DataFrame) -> DataFrame:
+    """(row_id, class_id, links): one row per row of a class; ``class_id`` is its least row, ``links`` the rows of other shops in it."""
+    rows = materialize(same_item_rows(df).select("row_id", "cluster", "shop", "size").distinct())
+    least = rows.groupBy("cluster").agg(F.min("row_id").alias("class_id"))
+    own = rows.groupBy("cluster", "shop").agg(F.count("*").alias("own"))
+    named = join_hot(join_hot(rows, least, ["cluster"], F.col("row_id")), own, ["cluster", "shop"], F.col("row_id"))
+    return named.select("row_id", "class_id", (F.col("size") - F.col("own")).alias("links"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from shelfspark.llm.lookalike import plain_texts
 from shelfspark.llm.packing import pack_all
-from shelfspark.llm.product_match import same_item_pairs
+from shelfspark.llm.product_match import same_item_classes, same_item_pairs
 from shelfspark.llm.residue import residue
 from shelfspark.llm.subjects import document_subjects
 from shelfspark.llm.survivors import surviving_records, surviving_values
@@ -33,6 +33,11 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return same_item_pairs(load_table(spark, sf_dir, "products"))
 
 
+def p2_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of each row that has a row of another shop in it, and the number of those."""
+    return same_item_classes(load_table(spark, sf_dir, "products"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue(load_table(spark, sf_dir, "products"), "row_id", TEXT_FIELDS).select("row_id", "field_name")
 
@@ -76,7 +81,7 @@ def p10_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (p1_found, p1_plain, p2_found, p5_found, p7_found, p7_records, p8_ids, p8_decoded, p9_packed, p10_found, p10_composition)
+        for f in (p1_found, p1_plain, p2_found, p2_classes, p5_found, p7_found, p7_records, p8_ids, p8_decoded, p9_packed, p10_found, p10_composition)
     }
 
 

@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from shelfspark.llm.product_match import accessory_of, article_codes, brand_key, plain_key, quantities, same_item_pairs
+from shelfspark.llm.product_match import accessory_of, article_codes, brand_key, plain_key, quantities, same_item_classes, same_item_pairs, sku_codes
 
 SCHEMA = "row_id long, source_domain string, product_id string, product_url string, source_url string, sku string, product_name string, title string, description string, brand string, vendor string, specifications string"
 
@@ -10,12 +10,19 @@ def one(spark, f, text):
 
 
 def test_tokens(spark):
-    q = {"kettle 0.5 litre": "ml:500.0000", "22.05 lbs beans": "g:10000.0000", "10KG": "g:10000.0000", 'rug 78.7"': "mm:2000.0000", "set of 8": "pc:8.0000", "eight-piece": "pc:8.0000", "2200Watts": "w:2200.0000", "101.4fl. oz": "ml:3000.0000", "20000mAh": "mah:20000.0000", "512 gigabyte": "gb:510.0000"}
+    q = {"kettle 0.5 litre": "ml:500.000", "22.05 lbs beans": "g:10000.000", "10KG": "g:10000.000", 'rug 78.7"': "mm:2000.000", "set of 8": "pc:8.000", "eight-piece": "pc:8.000", "2200Watts": "w:2200.000", "101.4fl. oz": "ml:3000.000", "20000mAh": "mah:20000.000", "512 gigabyte": "gb:512.000"}
     for text, value in q.items():
         assert one(spark, lambda c: quantities(plain_key(c)), text) == [value], text
     assert one(spark, lambda c: quantities(plain_key(c)), "plain mug") == []
     assert one(spark, lambda c: article_codes(plain_key(c)), "Mug (AB/12345) cd 54321, of 10000 g") == ["ab12345", "cd54321"]
-    assert {one(spark, brand_key, b) for b in ("Möbrik", "MOEBRIK", "Mö-brik GmbH", "Möbrik Co.")} == {"mobrik"}
+    assert one(spark, lambda c: article_codes(plain_key(c)), "SKU xk-204b, 400 mm 2031 edition, desk light400mm, 4k7720 and 4006381333931") == ["xk204b", "4k7720", "4006381333931"]
+    assert one(spark, sku_codes, "BRI-ZG34309") == ["brizg34309", "rizg34309", "izg34309", "zg34309", "g34309"] and one(spark, sku_codes, "n/a") == []
+    # Near values part, whatever their size; a rounded number stands for the roundest one it can.
+    apart = ("125 g", "128 g", "130 g", "134 g", "454 g", "455 g", "256 GB", "260 GB", "20000 mAh", "20400 mAh")
+    assert len({one(spark, lambda c: quantities(plain_key(c)), t)[0] for t in apart}) == len(apart)
+    assert {one(spark, lambda c: quantities(plain_key(c)), t)[0] for t in ("8.5 fl oz", "0.25 l", "25cl", "250ml")} == {"ml:250.000"}
+    assert one(spark, plain_key, "Poem of a poet, Bo\u0308rse") == "poem of a poet, boerse"
+    assert {one(spark, brand_key, b) for b in ("Möbrik", "MOEBRIK", "Mö-brik GmbH", "Möbrik Co.")} == {"moebrik"}
     assert one(spark, brand_key, "n/a") is None
     assert one(spark, lambda c: accessory_of(plain_key(c)), "Carry case for Altinell YA 63850") == "carry case"
     assert one(spark, lambda c: accessory_of(plain_key(c)), "Flash Card for 4K video") == ""
@@ -46,6 +53,26 @@ def test_pairs(spark):
     assert all(a < b for a, b in got)
 
 
+def test_classes(spark):
+    df = spark.createDataFrame(ROWS, SCHEMA)
+    pairs = same_item_pairs(df).collect()
+    partners = {}
+    for r in pairs:
+        partners.setdefault(r.row_id_a, set()).add(r.row_id_b)
+        partners.setdefault(r.row_id_b, set()).add(r.row_id_a)
+    got = {r.row_id: (r.class_id, r.links) for r in same_item_classes(df).collect()}
+    assert {i: n for i, (_, n) in got.items()} == {i: len(p) for i, p in partners.items()}
+    assert all(got[i][0] == got[j][0] for i, p in partners.items() for j in p)
+
+
+def test_short_names_and_large_clusters(spark):
+    short = [item(1, "1.example", "Nova Zu kettle 1 l"), item(2, "2.example", "kettle Zu by Nova, 33.8 fl oz")]
+    many = [item(1000 + i, f"{i % 7}.example", "Nova Mirabel press 2 kg") for i in range(700)]
+    fill = [item(10 + k, f"{k}.example", f"Brand{k} kettle press", f"Brand{k}") for k in range(9)]
+    got = {(r.row_id_a, r.row_id_b) for r in same_item_pairs(spark.createDataFrame(short + many + fill, SCHEMA)).collect()}
+    assert got == {(1, 2)} | {(1000 + a, 1000 + b) for a in range(700) for b in range(a + 1, 700) if a % 7 != b % 7}
+
+
 def test_a_series_name_of_two_brands(spark):
     nova = [item(i, f"{i}.example", f"Nova Sedirepo kettle 1 l {c}") for i, c in enumerate(("red", "blue", "grey", "green"), 1)]
     other = [item(i, f"{i}.example", f"Sedirepo {c} lamp 5 w by Other", "Other") for i, c in enumerate(("red", "blue", "grey"), 11)]
