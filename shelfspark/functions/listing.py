@@ -21,10 +21,8 @@ def listing_id(product_id: Column) -> Column:
 
 def address_path(url: Column) -> Column:
     """Path of an address without scheme, host, query, fragment, outer slashes and a leading collection."""
-    path = F.regexp_replace(F.trim(url), r"^(?i:https?:)?//[^/?#]*", "")
-    path = F.regexp_replace(path, r"[?#].*$", "")
-    path = F.regexp_replace(path, r"^/+|/+$", "")
-    return F.regexp_replace(path, r"^collections/[^/]+/(?=products/)", "")
+    path = F.rtrim(F.regexp_extract(F.trim(url), r"^(?:(?i:https?:)?//[^/?#]*)?/*([^?#]*)", 1), F.lit("/"))
+    return F.when(path.startswith("collections/"), F.regexp_replace(path, r"^collections/[^/]+/(?=products/)", "")).otherwise(path)
 
 
 def address_id(url: Column) -> Column:

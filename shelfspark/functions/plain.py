@@ -33,25 +33,36 @@ _COMBINING = "".join(chr(c) for c in range(0x300, 0x370))
 LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
 
 
-def fold_lookalikes(text: Column) -> Column:
-    """Text with look-alike characters replaced one by one, for keys only: it also changes words of other scripts."""
+def is_ascii(text: Column) -> Column:
+    """As many characters as bytes, which is known without looking at each."""
+    return F.length(text) == F.octet_length(text)
+
+
+def fold_beyond_ascii(text: Column) -> Column:
     out = F.translate(text, _FROM, _TO)
-    ligature = out.rlike("[ﬀ-ﬆ]")
     spelled = out
     for one, letters in LIGATURES.items():
         spelled = F.replace(spelled, F.lit(one), F.lit(letters))
-    # Most texts are plain: they pass by after one scan.
-    return F.when(text.rlike(r"[^\x00-\x7F]"), F.when(ligature, spelled).otherwise(out)).otherwise(text)
+    return F.when(out.rlike("[ﬀ-ﬆ]"), spelled).otherwise(out)
+
+
+def fold_lookalikes(text: Column) -> Column:
+    """Text with look-alike characters replaced one by one, for keys only: it also changes words of other scripts."""
+    return F.when(is_ascii(text), text).otherwise(fold_beyond_ascii(text))
+
+
+def bare_letters(lower_text: Column) -> Column:
+    return F.translate(lower_text, "".join(_BASE_OF) + _COMBINING, "".join(_BASE_OF.values()))
 
 
 def strip_accents(lower_text: Column) -> Column:
-    bare = F.translate(lower_text, "".join(_BASE_OF) + _COMBINING, "".join(_BASE_OF.values()))
-    return F.when(lower_text.rlike(r"[^\x00-\x7F]"), bare).otherwise(lower_text)
+    return F.when(is_ascii(lower_text), lower_text).otherwise(bare_letters(lower_text))
 
 
 def squeeze(text: Column) -> Column:
     """White space runs become one space; none is left outside."""
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    # Single spaces aren't matched, so that most texts pass without a replacement.
+    return F.trim(F.regexp_replace(text, r"[ \t\n\x0B\f\r]{2,}|[\t\n\x0B\f\r]", " "))
 
 
 def is_stand_in(text: Column) -> Column:

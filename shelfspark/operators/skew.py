@@ -4,18 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-#: Parts that every key is split into; the table of keys is repeated so many times.
-SALTS = 16
+from shelfspark.session import materialize
 
 
-def join_hot(many: DataFrame, few: DataFrame, on: Sequence[str], spread: Column, how: str = "inner", salts: int = SALTS) -> DataFrame:
-    """``many`` joined with ``few`` on the columns ``on``; rows of one key go to ``salts`` tasks by a hash of ``spread``.
+def join_hot(many: DataFrame, few: DataFrame, on: str | Sequence[str], how: str = "inner") -> DataFrame:
+    """``many`` joined with ``few``, which is written first.
 
-    ``spread`` must differ among the rows of a key and be computed alike at each attempt of a task. Null keys match nothing.
+    AQE splits the tasks of a hot key of one side if the other side comes from its shuffle alone, which an aggregate in the same
+    stage rules out; a table that is read does, and its size is known too, so that a small one is broadcast instead.
     """
-    salted = many.withColumn("_salt", F.pmod(F.xxhash64(F.lit(5), spread), F.lit(salts)).cast("int"))
-    parts = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(parts, [*on, "_salt"], how).drop("_salt")
+    return many.join(materialize(few), on, how)

@@ -595,20 +595,12 @@ def page_links(spark, d):
 @query()
 def stream_first_arrivals(spark, d):
     """Items as a stream, kept first by key. The result is the durable table that the batches wrote."""
-    import os
-    import shutil
-    import uuid
-
-    from shelfspark.session import ensure_checkpoint_dir
+    from shelfspark.session import scratch_path
     from shelfspark.streaming import pipeline
 
-    ensure_checkpoint_dir(spark)
-    root = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+    root = scratch_path(spark, "stream")
     items = load_table(spark, d, "discovery_items").select("item_id", "item_key", "arrived_at")
     items.repartitionByRange(4, "arrived_at").write.parquet(f"{root}/landed")
     stream = pipeline.read_stream(spark, f"{root}/landed", items)
     pipeline.run_to_table(pipeline.first_arrivals(stream, "item_key", "arrived_at", "400 days"), f"{root}/table", f"{root}/state")
-    out = spark.read.parquet(f"{root}/table").select("item_id", "item_key")
-    if root.startswith("/") and not os.path.isdir(f"{root}/table"):
-        shutil.rmtree(root, ignore_errors=True)
-    return out
+    return spark.read.parquet(f"{root}/table").select("item_id", "item_key")

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-import gc
+import atexit
 import os
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_ROOTS: dict[str, SparkSession] = {}
+
 
 def build_session(app: str = "shelfspark", cores: str | int = "*", **conf: str) -> SparkSession:
     """A local session with the settings that the library relies on (UTC, AQE)."""
@@ -42,34 +46,59 @@ def load_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's ``spark.checkpoint.dir``; only a local master may fall back to a temporary folder."""
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's ``spark.checkpoint.dir``; only a local master may fall back to a temporary folder."""
     context = spark.sparkContext
-    if context.getCheckpointDir():
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
+    shared = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if shared:
-        context.setCheckpointDir(shared)
-    elif context.master.startswith("local") and not context.master.startswith("local-cluster"):
-        context.setCheckpointDir(os.path.join(tempfile.gettempdir(), "shelfspark-checkpoints"))
-    else:
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        return shared.rstrip("/")
+    if context.master.startswith("local") and not context.master.startswith("local-cluster"):
+        return os.path.join(tempfile.gettempdir(), "shelfspark-checkpoints")
+    raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once into reliable shared storage and return a frame that reads it.
+def scratch_path(spark: SparkSession, name: str = "table") -> str:
+    """A new path below the shared folder; all of an application go when its driver ends."""
+    root = f"{shared_folder(spark)}/shelfspark-{spark.sparkContext.applicationId}"
+    if root not in _ROOTS:
+        _ROOTS[root] = spark
+    return f"{root}/{name}-{uuid.uuid4().hex}"
 
-    Cuts the lineage of iterative operators. A lost executor costs nothing that was written before.
-    """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
 
+def _remove(spark: SparkSession, path: str) -> None:
+    local = path.removeprefix("file://").removeprefix("file:")
+    if local.startswith("/"):
+        shutil.rmtree(local, ignore_errors=True)
+        return
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
-def release_shuffles(spark: SparkSession) -> None:
-    """Lets the driver find out which shuffles nothing refers to any more, so that their files go from the executors' disks.
 
-    Worth a call where an iterative operator has cut its lineage; the files would else stay until the driver's next full
-    garbage collection.
+@atexit.register
+def _remove_all() -> None:
+    for root, spark in _ROOTS.items():
+        try:
+            _remove(spark, root)
+        except Exception:  # the connection to the cluster may be gone at exit
+            continue
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Compute ``df`` once into a table in reliable shared storage and return a frame that reads it.
+
+    Cuts the lineage of iterative operators. A lost executor costs nothing that was written before. Being columnar, the table is read by column,
+    and a join with it is one that AQE can split where a key is hot.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    path = scratch_path(df.sparkSession)
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of :func:`materialize` that nothing refers to any more."""
+    for table in tables:
+        if path := getattr(table, "_scratch", None):
+            _remove(table.sparkSession, path)
