@@ -16,25 +16,27 @@ combinations are broken by the combination itself. Copies of a row fall into its
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfspark.functions.listing import shop_key
-from shelfspark.functions.plain import fold_lookalikes, is_stand_in, squeeze, strip_accents
-from shelfspark.llm.survivors import listing_groups
+from shelfspark.functions.plain import bare_letters, fold_beyond_ascii, is_ascii, is_stand_in, squeeze
+from shelfspark.llm.survivors import kind_of, listing_keys, listing_kinds, with_listing
 from shelfspark.operators.graph import connected_components
 from shelfspark.operators.skew import join_hot
 from shelfspark.session import materialize
 
-# Units of sale, their kind, how many base units they hold (g, ml, mm, W, mAh, GB, pieces), and whether a number in them is rounded.
+# Units of sale by their spellings, their kind, how many base units they hold (g, ml, mm, W, mAh, GB, pieces), and whether a number in them is rounded.
 UNITS: tuple[tuple[str, str, float, bool], ...] = (
-    ("fl\\.? ?oz|fluid ounces?", "ml", 29.5735, True), ("kg|kilos?|kilograms?", "g", 1000.0, False), ("lbs?|pounds?", "g", 453.592, True), ("oz|ounces?", "g", 28.3495, True),
-    ("g|grams?|gr", "g", 1.0, False), ("ml|millilit(?:re|er)s?", "ml", 1.0, False), ("cl", "ml", 10.0, False), ("l|ltr|lit(?:re|er)s?", "ml", 1000.0, False), ("mm|millimet(?:re|er)s?", "mm", 1.0, False),
-    ("cm|centimet(?:re|er)s?", "mm", 10.0, False), ("m|met(?:re|er)s?", "mm", 1000.0, False), ("inch(?:es)?|in|\"|''|”", "mm", 25.4, True), ("ft|feet|foot", "mm", 304.8, True),
-    ("kw|kilowatts?", "w", 1000.0, False), ("w|watts?", "w", 1.0, False), ("mah|milliamp hours?", "mah", 1.0, False), ("ah|amp hours?", "mah", 1000.0, False), ("tb|terabytes?", "gb", 1000.0, False),
-    ("gb|gigabytes?", "gb", 1.0, False), ("mb|megabytes?", "gb", 0.001, False), ("pcs?|pieces?|pce", "pc", 1.0, False),
+    ("fl. oz|fl.oz|fl oz|floz|fluid ounce|fluid ounces", "ml", 29.5735, True), ("kg|kilo|kilos|kilogram|kilograms", "g", 1000.0, False), ("lb|lbs|pound|pounds", "g", 453.592, True),
+    ("oz|ounce|ounces", "g", 28.3495, True), ("g|gr|gram|grams", "g", 1.0, False), ("ml|milliliter|milliliters|millilitre|millilitres", "ml", 1.0, False), ("cl", "ml", 10.0, False),
+    ("l|ltr|liter|liters|litre|litres", "ml", 1000.0, False), ("mm|millimeter|millimeters|millimetre|millimetres", "mm", 1.0, False), ("cm|centimeter|centimeters|centimetre|centimetres", "mm", 10.0, False),
+    ("m|meter|meters|metre|metres", "mm", 1000.0, False), ("in|inch|inches|\"|''|”", "mm", 25.4, True), ("ft|feet|foot", "mm", 304.8, True), ("kw|kilowatt|kilowatts", "w", 1000.0, False),
+    ("w|watt|watts", "w", 1.0, False), ("mah|milliamp hour|milliamp hours", "mah", 1.0, False), ("ah|amp hour|amp hours", "mah", 1000.0, False), ("tb|terabyte|terabytes", "gb", 1000.0, False),
+    ("gb|gigabyte|gigabytes", "gb", 1.0, False), ("mb|megabyte|megabytes", "gb", 0.001, False), ("pc|pcs|pce|piece|pieces", "pc", 1.0, False),
 )
 _NUMBER_WORDS = ("one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve")
 #: How far behind the title the tokens of a description count.
@@ -45,8 +47,8 @@ LEAST_EXCESS = 0.1
 COMMON_FROM, COMMON_PART = 100, 20_000
 #: Rows of a cluster that one task pairs with all others of it.
 PAIRED_AT_ONCE = 500
-_UNIT = "|".join(u for u, *_ in UNITS)
-_QUANTITY = rf"(?=\d)(?<![\p{{L}}\p{{N}}./])(\d+(?:[.,]\d+)?) ?-?(?:{_UNIT})(?![\p{{L}}\p{{N}}])"
+_UNIT = "|".join(re.escape(u).replace("\\ ", " ") for u in sorted((u for names, *_ in UNITS for u in names.split("|")), key=lambda u: (-len(u), u)))
+_QUANTITY = rf"(?=\d)(?<![\p{{L}}\p{{N}}./])(\d+(?:[.,]\d+)?) ?-?({_UNIT})(?![\p{{L}}\p{{N}}])"
 # What is sold for an item rather than being it.
 _ACCESSORY = (
     r"^((?:\p{L}+ ){0,4}?(?:lid|brush|case|kit|cover|strap|filter|part|parts|bag|pouch|charger|adapter|stand|holder|sleeve|refill|handle|blade|hose|mount|protector|battery|accessor(?:y|ies)))"
@@ -58,25 +60,25 @@ _COMPANY_WORDS = tuple(_COMPANY.split("(?:")[1].split(")")[0].split("|"))
 _NO_UNIT = rf"(?! ?-?(?:{_UNIT})(?![\p{{L}}\p{{N}}]))"
 # A short word and a number of at least three digits behind it, maybe with a mark or space between, or letters and digits in one; no measure.
 _CODE = (
-    r"(?=[a-z]{0,5}[ ./_-]?\d)(?<![\p{L}\p{N}.,/_-])"
-    rf"(?:(?:(?!(?:{_UNIT}) )[a-z]{{1,3}} |[a-z]{{1,5}}[./_-]?)\d{{3,10}}(?!\d){_NO_UNIT}(?:(?<! \d{{3,10}})[a-z]{{1,3}}|)|\d{{1,6}}{_NO_UNIT}[a-z]{{1,4}}\d+[a-z0-9]*|\d{{7,14}}(?!\d){_NO_UNIT})(?![\p{{L}}\p{{N}}]|[.,]\d)"
+    r"(?<![\p{L}\p{N}.,/_-])(?=[a-z]{0,5}[ ./_-]?\d)"
+    rf"(?:(?:(?!(?<=\d[ -])(?:{_UNIT}) )[a-z]{{1,3}} |[a-z]{{1,5}}[./_-]?)\d{{3,10}}(?!\d){_NO_UNIT}(?:(?<! \d{{3,10}})[a-z]{{1,3}}|)|\d{{1,6}}{_NO_UNIT}[a-z]{{1,4}}\d+[a-z0-9]*|\d{{7,14}}(?!\d){_NO_UNIT})(?![\p{{L}}\p{{N}}]|[.,]\d)"
 )
 
 
 def plain_key(text: Column) -> Column:
     """Lower case, plain characters, umlauts as two letters, no other accents, hyphens between letters closed."""
-    key = F.lower(fold_lookalikes(text))
-    spelled = F.regexp_replace(key, "([aou])\u0308", "$1e")
+    # Each step names the one before it once: the code of an expression that is named twice is generated twice.
+    key = F.regexp_replace(F.lower(fold_beyond_ascii(text)), "([aou])\u0308", "$1e")
     for mark, letters in (("ä", "ae"), ("ö", "oe"), ("ü", "ue")):
-        spelled = F.replace(spelled, F.lit(mark), F.lit(letters))
-    key = F.when(key.rlike("[äöü\u0308]"), spelled).otherwise(key)
-    return F.regexp_replace(squeeze(strip_accents(key)), r"(?<=\p{L}{2})-(?=\p{L})", "")
+        key = F.replace(key, F.lit(mark), F.lit(letters))
+    key = squeeze(F.when(is_ascii(text), F.lower(text)).otherwise(bare_letters(key)))
+    return F.regexp_replace(key, r"-(?<=\p{L}{2}-)(?=\p{L})", "")
 
 
 def brand_key(text: Column) -> Column:
-    key = F.regexp_replace(plain_key(text), _COMPANY, "")
-    key = F.regexp_replace(key, r"[^\p{L}\p{N}]+", "")
-    return F.when(is_stand_in(text) | (key == ""), None).otherwise(key)
+    """Letters and digits of a brand without its company form; null for none."""
+    key = F.regexp_replace(F.regexp_replace(plain_key(text), _COMPANY, ""), r"[^\p{L}\p{N}]+", "")
+    return F.when(~is_stand_in(text), F.nullif(key, F.lit("")))
 
 
 def article_codes(key: Column) -> Column:
@@ -91,41 +93,42 @@ def sku_codes(sku: Column) -> Column:
     return F.when(bare.rlike(r"^[a-z]{1,12}\d{3,10}$"), endings).otherwise(F.array().cast("array<string>"))
 
 
-def _base_values(found: Column) -> Column:
-    """Base values of quantities, in steps of one array each, since a lambda computes an expression anew wherever it stands."""
+def base_values(df: DataFrame) -> DataFrame:
+    """Adds ``token``, the kind and value in base units of a ``written`` quantity, to a frame that has it; rows without a value are dropped.
 
-    def parts(m: Column) -> Column:
-        number = F.replace(F.regexp_extract(m, r"(\d+(?:[.,]\d+)?)", 1), F.lit(","), F.lit("."))
-        unit = F.regexp_replace(F.trim(F.regexp_replace(m, r"^\d+(?:[.,]\d+)? ?-?", "")), r"\s+", " ")
-        step = F.pow(F.lit(10.0), -F.length(F.regexp_extract(number, r"\.(\d+)$", 1)))
-        return F.struct(number.cast("double").alias("number"), step.alias("step"), unit.alias("unit"))
-
-    def measure(p: Column) -> Column:
-        out = F.struct(F.lit("pc").alias("kind"), p["number"].alias("value"), F.lit(0.0).alias("off"))
-        for pattern, k, s, rounded in reversed(UNITS):
-            off = F.least(p["step"] * s / 2, p["number"] * s / 100) if rounded else F.lit(0.0)
-            out = F.when(p["unit"].rlike(f"^(?:{pattern})$"), F.struct(F.lit(k).alias("kind"), (p["number"] * s).alias("value"), off.alias("off"))).otherwise(out)
-        return out
-
-    def named(m: Column) -> Column:
-        # Metric numbers stand as they are; of what a rounded number can stand for, the roundest metric one.
-        low, high = m["value"] - m["off"], m["value"] + m["off"]
-        round_ones = (F.when(F.ceil(low / 10.0**j) * 10.0**j <= high, F.ceil(low / 10.0**j) * 10.0**j) for j in range(5, -3, -1))
-        value = F.when(m["off"] == 0, m["value"]).otherwise(F.coalesce(*round_ones, m["value"]))
-        return F.when(m["value"] > 0, F.concat(m["kind"], F.lit(":"), F.round(value, 3).cast("decimal(24,3)").cast("string")))
-
-    return F.transform(F.transform(F.transform(found, parts), measure), named)
-
-
-def quantities(key: Column) -> Column:
-    """Quantities of a text in base units, in order."""
+    Each step is a projection of its own, so that none computes what another has.
+    """
+    spelled = [(u, kind, size, rounded) for names, kind, size, rounded in UNITS for u in names.split("|")]
+    table = df.sparkSession.createDataFrame(spelled, "unit string, _kind string, _size double, _rounded boolean")
+    number = F.regexp_extract("written", r"^[\d.,]*\d", 0)
+    df = df.withColumn("_number", number).withColumn("unit", F.regexp_replace(F.expr("substring(written, length(_number) + 1)"), "^ ?-?", ""))
+    df = df.join(F.broadcast(table), "unit").withColumn("_plain", F.translate("_number", ",", "."))
+    places = F.when(F.contains("_plain", F.lit(".")), F.length(F.substring_index("_plain", ".", -1))).otherwise(0)
+    df = df.withColumns({"_value": F.col("_plain").cast("double") * F.col("_size"), "_step": F.pow(F.lit(10.0), -places) * F.col("_size") / 2})
+    off = F.when(F.col("_rounded"), F.least("_step", F.col("_value") / 100)).otherwise(F.lit(0.0))
+    df = df.filter("_value > 0").withColumns({"_low": F.col("_value") - off, "_high": F.col("_value") + off})
+    # Metric numbers stand as they are; of what a rounded number can stand for, the roundest metric one.
+    round_ones = (F.when(F.ceil(F.col("_low") / 10.0**j) * 10.0**j <= F.col("_high"), F.ceil(F.col("_low") / 10.0**j) * 10.0**j) for j in range(5, -3, -1))
+    df = df.withColumn("_exact", F.when(F.col("_low") == F.col("_high"), F.col("_value")).otherwise(F.coalesce(*round_ones, "_value")))
+    token = F.concat("_kind", F.lit(":"), F.round("_exact", 3).cast("decimal(24,3)").cast("string"))
+    return df.withColumn("token", token).drop("written", "unit", "_number", "_kind", "_size", "_rounded", "_plain", "_value", "_step", "_low", "_high", "_exact")
+
+
+def spell_counts(key: Column) -> Column:
+    """Piece counts in words, and sets of so many, as numbers of pieces."""
     spelled = key
     for i, word in enumerate(_NUMBER_WORDS):
         spelled = F.regexp_replace(spelled, rf"(?<!\p{{L}}){word}(?=[ -]?(?:piece|pc))", str(i + 1))
-    words = F.when(F.contains(key, F.lit("piece")) | F.contains(key, F.lit("pc")), spelled).otherwise(key)
+    pieces = F.contains(key, F.lit("piece")) | F.contains(key, F.lit("pc"))
+    words = F.when(pieces & key.rlike(rf"(?:{'|'.join(_NUMBER_WORDS)})[ -]?(?:piece|pc)"), spelled).otherwise(key)
     counted = F.regexp_replace(words, r"(?<!\p{L})(?:set|pack|box) of (\d+)(?!\p{N})", "$1 piece")
-    words = F.when(F.contains(key, F.lit(" of ")), counted).otherwise(words)
-    return F.array_compact(_base_values(F.regexp_extract_all(words, F.lit(_QUANTITY), F.lit(0))))
+    sets = F.contains(key, F.lit("set of ")) | F.contains(key, F.lit("pack of ")) | F.contains(key, F.lit("box of "))
+    return F.when(sets, counted).otherwise(words)
+
+
+def quantities(key: Column) -> Column:
+    """Distinct written quantities of a text whose counts are spelled by :func:`spell_counts`; see :func:`base_values`."""
+    return F.array_distinct(F.regexp_extract_all(key, F.lit(_QUANTITY), F.lit(0)))
 
 
 def accessory_of(key: Column) -> Column:
@@ -148,8 +151,8 @@ def brand_excess(pairs: DataFrame, brands: DataFrame) -> DataFrame:
 def common_words(said: DataFrame) -> DataFrame:
     """(token): frequent words far from telling brands apart, at most ``COMMON_PART`` times the words of a row; `vote` has no use for them."""
     told = said.filter("brand is not null and accessory = ''")
-    each = F.explode(F.array_distinct(F.concat(_words("title"), _words("body")))).alias("token")
-    pairs = told.select("brand", each).groupBy("brand", "token").agg(F.count("*").cast("double").alias("f2"))
+    each = F.explode(F.array_distinct(F.split(F.concat_ws(" ", "title", "body"), r"[^\p{L}]+"))).alias("token")
+    pairs = told.select("brand", each).filter(F.length("token") > 1).groupBy("brand", "token").agg(F.count("*").cast("double").alias("f2"))
     brands = told.groupBy("brand").agg(F.count("*").cast("double").alias("f2"))
     rows = F.broadcast(brands.agg(F.sum("f2").alias("rows")))
     often = F.col("n") >= F.greatest(F.lit(float(COMMON_FROM)), F.col("rows") / COMMON_PART)
@@ -157,74 +160,78 @@ def common_words(said: DataFrame) -> DataFrame:
 
 
 def _words(column: str) -> Column:
-    """Words of two letters or more."""
-    return F.split(column, r"(?:[^\p{L}]+|(?<!\p{L})\p{L}(?!\p{L}))+")
+    return F.split(column, r"[^\p{L}]+")
 
 
 def said_by_rows(df: DataFrame) -> DataFrame:
-    """What each row says: brand, accessory, codes and quantities by where they stand, and the texts that its words are taken from."""
+    """What each row says: its listing's keys, shop, brand, accessory, codes and quantities by where they stand, and the texts that its words are taken from."""
     name = F.when(is_stand_in(F.col("product_name")), F.col("title")).otherwise(F.col("product_name"))
-    columns = ("row_id", "source_domain", "sku", "product_name", "title", "description", "brand", "vendor", "specifications")
-    rows = df.select(*columns).select(
+    texts = ("source_domain", "product_id", "product_url", "source_url", "brand", "vendor", "sku")
+    rows = df.select("row_id", *texts, name.alias("name"), F.coalesce("description", F.lit("")).alias("body"), F.coalesce("specifications", F.lit("")).alias("specs"))
+    rows = rows.select(
         "row_id",
+        listing_keys().alias("keys"),
         shop_key(F.col("source_domain")).alias("shop"),
         F.coalesce(brand_key(F.col("brand")), brand_key(F.col("vendor"))).alias("brand"),
-        plain_key(F.coalesce(name, F.lit(""))).alias("name"),
-        plain_key(F.coalesce("description", F.lit(""))).alias("body"),
-        F.regexp_replace(plain_key(F.coalesce("specifications", F.lit(""))), r'\\*"', " ; ").alias("specs"),
+        plain_key(F.coalesce("name", F.lit(""))).alias("name"),
+        plain_key(F.col("body")).alias("body"),
+        F.translate(plain_key(F.col("specs")), '"\\', "; ").alias("specs"),
         F.coalesce("sku", F.lit("")).alias("sku"),
     )
-    none = F.array().cast("array<string>")
-    texts = F.concat_ws(" ; ", "body", "specs")
+    rows = rows.withColumns({"texts": F.concat_ws(" ; ", "body", "specs"), "kind": kind_of(F.col("keys"), F.col("row_id"))})
+    rows = rows.withColumns({"name_counted": spell_counts(F.col("name")), "texts_counted": spell_counts(F.col("texts"))})
     # Names behind a key of the text count as standing first.
     keyed = F.regexp_extract_all("body", F.lit(r"(?:line|series|range) ?[:=-] ?(\p{L}{2,})"), F.lit(1))
     return rows.select(
-        "row_id", "shop", "brand",
+        "row_id", "shop", "keys", "kind", "brand",
         accessory_of(F.col("name")).alias("accessory"),
         article_codes(F.col("name")).alias("name_codes"),
-        F.when(texts.rlike(r"\d{3}"), article_codes(texts)).otherwise(none).alias("body_codes"),
+        article_codes(F.col("texts")).alias("body_codes"),
         sku_codes(F.col("sku")).alias("sku_codes"),
-        quantities(F.col("name")).alias("name_quantities"),
-        quantities(texts).alias("body_quantities"),
+        quantities(F.col("name_counted")).alias("name_quantities"),
+        quantities(F.col("texts_counted")).alias("body_quantities"),
         F.regexp_replace("name", _CODE, " ").alias("title"),
         F.array_join(keyed, " ").alias("keyed"),
         "body",
     )
 
 
-def listing_tokens(df: DataFrame, groups: DataFrame) -> DataFrame:
+def listing_tokens(said: DataFrame, kinds: DataFrame) -> DataFrame:
     """(listing, kind, token, pos, weight, told): the tokens of each listing with their first position, over all its captures.
 
-    Kinds are shop, brand, accessory, quantity, code and word; ``told`` says that a text holds the token.
+    Kinds are brand, accessory, quantity, code and word; ``told`` says that a text holds the token.
     """
-    said = said_by_rows(df).join(groups.select("row_id", F.col("group_row_id").alias("listing")), "row_id").drop("row_id")
-    said = materialize(said)
-
-    def tokens(kind: str, of: Column, start: int, weight: float, told: bool = True) -> Column:
-        each: Callable[[Column, Column], Column] = lambda t, i: F.struct(
-            F.lit(kind).alias("kind"), t.alias("token"), (i + start).cast("double").alias("pos"), F.lit(weight).alias("weight"), F.lit(told).alias("told")
-        )
-        return F.transform(of, each)
-
-    sorts = [
-        tokens("shop", F.array("shop"), 0, 1.0), tokens("brand", F.array("brand"), 0, 1.0), tokens("accessory", F.array(F.nullif("accessory", F.lit(""))), 0, 1.0),
-        tokens("quantity", F.col("name_quantities"), 0, 100.0), tokens("quantity", F.col("body_quantities"), BEHIND_TITLE, 1.0),
-        tokens("code", F.col("name_codes"), 0, 1.0), tokens("code", F.col("body_codes"), BEHIND_TITLE, 1.0), tokens("code", F.col("sku_codes"), BEHIND_TITLE // 2, 1.0, False),
-        tokens("word", _words("title"), 0, 1.0), tokens("word", _words("keyed"), BEHIND_TITLE, 1.0), tokens("word", _words("body"), BEHIND_TITLE, 1.0),
-    ]
-    each = said.select("listing", F.inline(F.concat(*sorts))).filter("token is not null and token <> ''")
-    each = each.join(F.broadcast(common_words(said)).withColumn("kind", F.lit("word")), ["kind", "token"], "left_anti")
-    return each.groupBy("listing", "kind", "token").agg(F.min("pos").alias("pos"), F.sum("weight").alias("weight"), F.max("told").alias("told"))
+    common = materialize(common_words(said))
+
+    # Explosions of plain arrays stay in generated code; lambdas that build rows don't.
+    heads = said.select("row_id", "kind", F.posexplode(F.array("brand", "accessory")).alias("at", "token")).filter("token <> ''")
+    heads = heads.select("row_id", "kind", F.when(F.col("at") == 0, "brand").otherwise("accessory").alias("sort"), "token", F.lit(0.0).alias("pos"), F.lit(1.0).alias("weight"), F.lit(True).alias("told"))
+    measured = said.select("row_id", "kind", F.size("name_quantities").alias("first"), F.concat("name_quantities", "body_quantities").alias("each"))
+    measured = base_values(measured.select("row_id", "kind", "first", F.posexplode("each").alias("at", "written")))
+    weight = F.when(F.col("at") < F.col("first"), 100.0).otherwise(1.0)
+    measured = measured.select("row_id", "kind", F.lit("quantity").alias("sort"), "token", F.lit(0.0).alias("pos"), weight.alias("weight"), F.lit(True).alias("told"))
+    ends = (F.size("name_codes").alias("first"), (F.size("name_codes") + F.size("body_codes")).alias("second"))
+    coded = said.select("row_id", "kind", *ends, F.concat("name_codes", "body_codes", "sku_codes").alias("each"))
+    coded = coded.select("row_id", "kind", "first", "second", F.posexplode("each").alias("at", "token"))
+    pos = F.when(F.col("at") < F.col("first"), F.col("at")).when(F.col("at") < F.col("second"), F.col("at") - F.col("first") + BEHIND_TITLE).otherwise(BEHIND_TITLE // 2)
+    coded = coded.select("row_id", "kind", F.lit("code").alias("sort"), "token", pos.cast("double").alias("pos"), F.lit(1.0).alias("weight"), (F.col("at") < F.col("second")).alias("told"))
+    titled = said.select("row_id", "kind", _words("title").alias("title"), _words("keyed").alias("keyed"), _words("body").alias("body"))
+    titled = titled.select("row_id", "kind", F.size("title").alias("in_title"), F.concat("title", "keyed", "body").alias("words"))
+    words = titled.select("row_id", "kind", "in_title", F.posexplode("words").alias("at", "token")).filter(F.length("token") > 1)
+    words = words.join(F.broadcast(common), "token", "left_anti")
+    pos = F.when(F.col("at") < F.col("in_title"), F.col("at")).otherwise(BEHIND_TITLE + F.col("at") - F.col("in_title")).cast("double")
+    words = words.select("row_id", "kind", F.lit("word").alias("sort"), "token", pos.alias("pos"), F.lit(1.0).alias("weight"), F.lit(True).alias("told"))
+    placed = with_listing(reduce(DataFrame.unionByName, (heads, measured, coded), words), kinds)
+    return placed.groupBy("listing", F.col("sort").alias("kind"), "token").agg(F.min("pos").alias("pos"), F.sum("weight").alias("weight"), F.max("told").alias("told"))
 
 
 def listing_heads(tokens: DataFrame) -> DataFrame:
-    """(listing, shop, brand, accessory, quantity): by majority of the captures; a listing that names no brand takes a word of its titles that is one elsewhere."""
+    """(listing, brand, accessory, quantity): by majority of the captures; a listing that names no brand takes a word of its titles that is one elsewhere."""
 
     def most(kind: str) -> Column:
         return F.min(F.when(F.col("kind") == kind, F.struct((-F.col("weight")).alias("w"), F.col("token").alias("v"))))["v"].alias(kind)
 
-    heads = tokens.filter("kind in ('shop', 'brand', 'accessory', 'quantity')").groupBy("listing").agg(most("shop"), most("brand"), most("accessory"), most("quantity"))
-    heads = materialize(heads)
+    heads = materialize(tokens.filter("kind in ('brand', 'accessory', 'quantity')").groupBy("listing").agg(most("brand"), most("accessory"), most("quantity")))
     brands = heads.select(F.col("brand").alias("token")).filter("token is not null").distinct()
     named = tokens.filter((F.col("kind") == "word") & (F.col("pos") < BEHIND_TITLE))
     guess = named.join(heads.filter("brand is null").select("listing"), "listing", "left_semi").join(brands, "token", "left_semi")
@@ -242,14 +249,15 @@ def best_tokens(tokens: DataFrame, heads: DataFrame) -> DataFrame:
     """
     said = tokens.filter("kind in ('word', 'code')").join(heads.select("listing", "brand", "accessory"), "listing").filter((F.col("token") != F.col("brand")) & ~F.col("token").isin(*_COMPANY_WORDS))
     # Counts in doubles, whose products can't overflow. An accessory repeats the tokens of another item.
+    said = materialize(said.drop("weight"))
     own = F.col("accessory").isNull()
     pairs = said.filter(own).groupBy("brand", "kind", "token").agg(F.count("*").cast("double").alias("f2"), F.avg("pos").alias("p2"), F.max("told").alias("told"))
-    pairs = pairs.filter("told").drop("told")
+    pairs = materialize(pairs.filter("told").drop("told"))
     brands = heads.filter("accessory is null").groupBy("brand").agg(F.count("*").cast("double").alias("f2"))
     telling = brand_excess(pairs, brands).filter(F.col("excess") >= LEAST_EXCESS)
     # What a single listing says groups nothing, but a code in its title tells it from others.
     weighed = pairs.filter(f"f2 > 1 or kind = 'code' and p2 < {BEHIND_TITLE}").join(telling, "token").select("brand", "kind", "token", "f2", "p2", (F.col("excess") * F.col("f2") / F.col("n")).alias("weight"))
-    scored = join_hot(said.drop("weight"), weighed, ["brand", "kind", "token"], F.col("listing"))
+    scored = join_hot(said, weighed, ["brand", "kind", "token"])
     score = F.col("weight") * 4.0 / (1.0 + (F.col("p2") + F.col("pos")) / 2) * F.log("f2")
 
     def best(kind: str) -> Column:
@@ -293,7 +301,7 @@ def elected_clusters(listings: DataFrame) -> DataFrame:
     one_quantity = F.coalesce(F.col("quantity_min") == F.col("quantity_max"), F.lit(True))
     clear = counted.filter((F.col("n") > 1) & one_code & one_quantity).select("combo", "n", "p")
     score = F.col("size") * F.col("size") / (1.0 + F.col("p")) * F.log(F.col("n").cast("double"))
-    held = join_hot(combos.select("listing", "combo", "size"), clear, ["combo"], F.col("listing"))
+    held = join_hot(combos.select("listing", "combo", "size"), clear, "combo")
     votes = held.groupBy("listing").agg(
         F.min(F.struct((-F.round(score, 6)).alias("s"), "combo"))["combo"].alias("best"), F.sort_array(F.collect_list("combo")).alias("holds")
     )
@@ -303,24 +311,25 @@ def elected_clusters(listings: DataFrame) -> DataFrame:
     elected = votes.select("best").distinct()
     links = kinds.select("kind", F.explode("holds").alias("combo")).join(elected, F.col("combo") == F.col("best"), "left_semi")
     merged = connected_components(links, "kind", "combo").select(F.col("item").alias("kind"), F.col("component").alias("cluster"))
-    return join_hot(votes.select("listing", "holds"), kinds.join(merged, "kind"), ["holds"], F.col("listing")).select("listing", "cluster")
+    return join_hot(votes.select("listing", "holds"), kinds.join(merged, "kind").drop("kind"), "holds").select("listing", "cluster")
 
 
-def match_listings(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(row_id to listing, listing to cluster)."""
-    groups = materialize(listing_groups(df))
-    tokens = materialize(listing_tokens(df, groups))
+def match_listings(said: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(kind to listing, listing to cluster)."""
+    kinds = materialize(listing_kinds(said.select("row_id", "keys")))
+    tokens = materialize(listing_tokens(said, kinds))
     heads = materialize(listing_heads(tokens))
-    return groups, elected_clusters(heads.join(best_tokens(tokens, heads), "listing"))
+    return kinds, materialize(elected_clusters(heads.join(best_tokens(tokens, heads), "listing")))
 
 
 def same_item_rows(df: DataFrame) -> DataFrame:
-    """(row_id, cluster, shop) of all rows whose listing is in a cluster of several shops."""
-    groups, clusters = match_listings(df)
-    shops = df.select("row_id", shop_key(F.col("source_domain")).alias("shop"))
-    rows = shops.join(groups, "row_id").join(clusters, F.col("group_row_id") == F.col("listing")).select("row_id", "cluster", "shop")
+    """(row_id, cluster, shop, size) of all rows whose listing is in a cluster of several shops; ``size``: the rows of the cluster."""
+    said = materialize(said_by_rows(df))
+    kinds, clusters = match_listings(said)
+    rows = said.select("row_id", "kind", "shop")
+    rows = materialize(with_listing(rows, kinds).join(clusters, "listing").select("row_id", "cluster", "shop").distinct())
     several = rows.groupBy("cluster").agg(F.min("shop").alias("low"), F.max("shop").alias("high"), F.count("*").alias("size")).filter("low <> high")
-    return join_hot(rows, several.select("cluster", "size"), ["cluster"], F.col("row_id"))
+    return join_hot(rows, several.select("cluster", "size"), "cluster")
 
 
 def same_item_pairs(df: DataFrame) -> DataFrame:
@@ -328,7 +337,7 @@ def same_item_pairs(df: DataFrame) -> DataFrame:
 
     A large cluster is split: each part of ``PAIRED_AT_ONCE`` rows meets all rows of the cluster in a task of its own.
     """
-    rows = materialize(same_item_rows(df).distinct().withColumn("parts", F.ceil(F.col("size") / PAIRED_AT_ONCE).cast("int")))
+    rows = materialize(same_item_rows(df).withColumn("parts", F.ceil(F.col("size") / PAIRED_AT_ONCE).cast("int")))
     part = F.pmod(F.xxhash64("row_id"), F.col("parts")).cast("int")
     a = rows.select("cluster", part.alias("part"), F.col("row_id").alias("row_id_a"), F.col("shop").alias("shop_a"))
     b = rows.select("cluster", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("row_id").alias("row_id_b"), F.col("shop").alias("shop_b"))
@@ -337,8 +346,8 @@ def same_item_pairs(df: DataFrame) -> DataFrame:
 
 def same_item_classes(df: DataFrame) -> DataFrame:
     """(row_id, class_id, links): one row per row of a class; ``class_id`` is its least row, ``links`` the rows of other shops in it."""
-    rows = materialize(same_item_rows(df).select("row_id", "cluster", "shop", "size").distinct())
+    rows = materialize(same_item_rows(df))
     least = rows.groupBy("cluster").agg(F.min("row_id").alias("class_id"))
     own = rows.groupBy("cluster", "shop").agg(F.count("*").alias("own"))
-    named = join_hot(join_hot(rows, least, ["cluster"], F.col("row_id")), own, ["cluster", "shop"], F.col("row_id"))
+    named = join_hot(join_hot(rows, least, "cluster"), own, ["cluster", "shop"])
     return named.select("row_id", "class_id", (F.col("size") - F.col("own")).alias("links"))

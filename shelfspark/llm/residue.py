@@ -180,7 +180,7 @@ def mine_templates(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
         rest = placed.filter("centre is null")
         best = F.max(F.struct("rows", "key"))["key"]
         centres = rest.groupBy("leaf").agg(best.alias("found"), F.count("*").alias("n")).filter("n > 1").drop("n")
-        near = join_hot(placed, centres, ["leaf"], F.col("key"), "left")
+        near = join_hot(placed, centres, "leaf", "left")
         apart = F.size(_differences(tokens, F.split("found", " ")))
         close = F.col("centre").isNull() & (apart <= (1 - LIKE) * F.size(tokens))
         placed = materialize(near.withColumn("centre", F.when(close, F.col("found")).otherwise(F.col("centre"))).drop("found"))
@@ -221,7 +221,7 @@ def residue(df: DataFrame, id_col: str, columns: Sequence[str]) -> DataFrame:
     )
     members, templates = mine_templates(keys)
     judged = templates.select("centre", classify_template(F.col("template"), F.col("spread"), F.col("own")).alias("verdict")).filter("verdict is not null")
-    verdicts = materialize(join_hot(members, judged, ["centre"], F.col("key")).select("key", "verdict"))
-    plain = join_hot(values.filter("not slot"), verdicts, ["key"], F.col("_id"))
+    verdicts = join_hot(members, judged, "centre").select("key", "verdict")
+    plain = join_hot(values.filter("not slot"), verdicts, "key")
     whole = values.filter("slot").select("_id", "field_name", F.lit("slot").alias("verdict"))
     return plain.select("_id", "field_name", "verdict").unionByName(whole).withColumnRenamed("_id", id_col)

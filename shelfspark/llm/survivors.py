@@ -22,41 +22,60 @@ from shelfspark.functions.listing import address_id, instant_micros, listing_id,
 from shelfspark.functions.plain import is_stand_in
 from shelfspark.llm.residue import residue
 from shelfspark.operators.graph import connected_components
+from shelfspark.operators.skew import join_hot
 from shelfspark.operators.units import states_amount
+from shelfspark.session import materialize
 
 SURVIVOR_FIELDS = ("product_name", "description", "price", "brand", "availability", "main_image")
 
 
-def listing_links(df: DataFrame, id_col: str = "row_id") -> DataFrame:
-    """(item, key): the keys of each row are its ids and product addresses within its shop."""
+def listing_keys() -> Column:
+    """The ids and product addresses that tell a row's listing within its shop, sorted; empty without any.
+
+    A hash of 128 bits stands for shop and key; a clash is out of reach of any corpus.
+    """
     shop = shop_key(F.col("source_domain"))
-    keys = F.array(
+    names = (
         F.concat(F.lit("id "), listing_id(F.col("product_id"))),
         F.concat(F.lit("id "), address_id(F.col("product_url"))),
         F.concat(F.lit("id "), address_id(F.col("source_url"))),
         F.concat(F.lit("at "), product_path(F.col("product_url"))),
         F.concat(F.lit("at "), product_path(F.col("source_url"))),
     )
-    # Two hashes of 64 bits stand for shop and key; a clash of both is out of reach of any corpus.
-    named = df.select(F.col(id_col).alias("item"), shop.alias("shop"), F.explode(F.array_compact(keys)).alias("name"))
-    return named.filter("shop is not null").select(
-        "item", F.struct(F.xxhash64("shop", "name").alias("a"), F.xxhash64("name", F.lit(7), "shop").alias("b")).alias("key")
-    )
+    # No lambda, which would be interpreted: nulls sort first and are sliced off.
+    hashed = [F.unhex(F.md5(F.concat(shop, F.lit(" "), n))) for n in names]
+    ordered = F.sort_array(F.array_distinct(F.array(*hashed)))
+    missing = F.when(F.get(ordered, 0).isNull(), 1).otherwise(0)
+    return F.slice(ordered, missing + 1, F.lit(len(hashed)))
 
 
-def listing_groups(df: DataFrame, id_col: str = "row_id") -> DataFrame:
-    """(row id, group_row_id): rows that capture the same listing of the same shop; the group's id is its smallest row id.
+def kind_of(keys: Column, row: Column) -> Column:
+    """Two hashes of the keys; a row without keys is of its own kind."""
+    own = F.struct(F.xxhash64(row).alias("a"), F.lit(-1).cast("bigint").alias("b"))
+    return F.when(F.size(keys) > 0, F.struct(F.xxhash64(keys).alias("a"), F.xxhash64(F.lit(7), keys).alias("b"))).otherwise(own)
+
+
+def listing_kinds(df: DataFrame, id_col: str = "row_id") -> DataFrame:
+    """(kind, listing): rows that capture the same listing of the same shop; the listing's id is its smallest row id.
 
-    Rows with the same keys are one item to the component search, so that copies of a capture add nothing to it.
+    Rows with the same keys are one item to the component search, so that copies of a capture add nothing to it. Rows without keys don't appear.
     """
-    links = listing_links(df, id_col)
-    keyed = links.groupBy("item").agg(F.sort_array(F.collect_set("key")).alias("keys"))
-    kinds = keyed.groupBy("keys").agg(F.min("item").alias("kind"))
-    components = connected_components(kinds.select(F.col("kind").alias("item"), F.explode("keys").alias("key")))
-    named = kinds.join(components, kinds["kind"] == components["item"]).select("keys", "component")
-    grouped = keyed.join(named, "keys").select(F.col("item").alias(id_col), F.col("component").alias("group_row_id"))
-    rest = df.select(id_col).join(grouped.select(id_col), id_col, "left_anti").select(id_col, F.col(id_col).alias("group_row_id"))
-    return grouped.unionByName(rest)
+    keys = F.col("keys") if df.columns == [id_col, "keys"] else listing_keys()
+    keyed = df.select(F.col(id_col).alias("item"), keys.alias("keys")).filter(F.size("keys") > 0)
+    kinds = materialize(keyed.groupBy("keys").agg(F.min("item").alias("item")))
+    components = connected_components(kinds.select("item", F.explode("keys").alias("key")))
+    return kinds.join(components, "item").select(kind_of(F.col("keys"), F.col("item")).alias("kind"), F.col("component").alias("listing"))
+
+
+def with_listing(rows: DataFrame, kinds: DataFrame, id_col: str = "row_id") -> DataFrame:
+    """``rows``, which have a column ``kind``, with their ``listing`` in its place; a row of no known kind is its own listing."""
+    return join_hot(rows, kinds, "kind", "left").withColumn("listing", F.coalesce("listing", id_col)).drop("kind")
+
+
+def listing_groups(df: DataFrame, id_col: str = "row_id") -> DataFrame:
+    """(row id, group_row_id) of all rows."""
+    rows = df.select(id_col, kind_of(listing_keys(), F.col(id_col)).alias("kind"))
+    return with_listing(rows, listing_kinds(df, id_col), id_col).withColumnRenamed("listing", "group_row_id")
 
 
 def usable(field: str) -> Column:
@@ -81,17 +100,18 @@ def rank_records(df: DataFrame, groups: DataFrame, id_col: str, order: Sequence[
 
 def surviving_values(df: DataFrame, id_col: str = "row_id", fields: Sequence[str] = SURVIVOR_FIELDS) -> DataFrame:
     """(group_row_id, field_name, from_row_id): the row that each field's surviving value comes from, for groups of two or more."""
-    groups = listing_groups(df, id_col)
+    kinds = listing_kinds(df, id_col)
     texts = [f for f in ("product_name", "description") if f in fields]
     offered = F.array_compact(F.array(*(F.when(usable(f), F.lit(f)) for f in fields)))
-    rows = df.select(id_col, instant_micros(F.col("scraped_at").cast("string")).alias("instant"), offered.alias("offered"))
+    kind = kind_of(listing_keys(), F.col(id_col))
+    rows = df.select(id_col, instant_micros(F.col("scraped_at").cast("string")).alias("instant"), offered.alias("offered"), kind.alias("kind"))
     if texts:
         bad = residue(df, id_col, texts).groupBy(id_col).agg(F.collect_set("field_name").alias("bad"))
         rows = rows.join(bad, id_col, "left").withColumn("offered", F.when(F.col("bad").isNull(), F.col("offered")).otherwise(F.array_except("offered", "bad")))
-    placed = rows.join(groups, id_col)
+    placed = with_listing(rows, kinds, id_col)
     # Latest instant, then smallest id: the least of (-instant, id), where a missing instant is last.
     rank = F.struct((-F.coalesce("instant", F.lit(-(2**62)))).alias("late"), F.col(id_col).alias("id"))
-    best = placed.groupBy("group_row_id").agg(
+    best = placed.groupBy(F.col("listing").alias("group_row_id")).agg(
         F.count("*").alias("n"), *(F.min(F.when(F.array_contains("offered", f), rank)).alias(f"best_{f}") for f in fields)
     )
     chosen = F.array(*(F.struct(F.lit(f).alias("field_name"), F.col(f"best_{f}")["id"].alias("from_row_id")) for f in fields))
