@@ -5,7 +5,7 @@ Units are nodes and conversions are edges with affine functions ``target = mul *
 to each canonical target; :func:`convert` equi-joins rows with that table on source unit and target.
 
 :func:`usd_cents` reads an amount, its currency and its scale from texts, names the unit (``USD.minor``, ``JPY.k`` ...) and
-converts to US cents. Values that state no amount (null, blank, words only) have no rows.
+converts to US cents. Values that state no amount (null, blank, words only), or one of 10^18 or more, or one of more than ``GREATEST`` cents, have no rows.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from shelfspark.functions.plain import fold_lookalikes, squeeze
 
 #: A unit table larger than this is refused: it is read by the driver and broadcast.
 MAX_UNITS = 10_000
+#: Converted values beyond this, the room of a bigint, are null.
+GREATEST = 9.2e18
 
 
 class ConversionGraph:
@@ -81,7 +83,7 @@ class ConversionGraph:
 
 
 def convert(df: DataFrame, table: DataFrame, value: str, unit: str, target: str, out: str) -> DataFrame:
-    """Add ``out``, the exact value in ``target`` rounded half up to an integer; unknown units and null values give null.
+    """Add ``out``, the exact value in ``target`` rounded half up to an integer; unknown units, null values and results beyond ``GREATEST`` give null.
 
     ``value`` is a decimal of at most six places.
     """
@@ -94,7 +96,11 @@ def convert(df: DataFrame, table: DataFrame, value: str, unit: str, target: str,
     bottom = "(2000000 * _mul_den * _add_den)"
     exact = F.expr(f"cast(floor(cast({top} as decimal(38,0)) / cast({bottom} as decimal(38,0))) as bigint)")
     whole = F.expr(f"cast({top} as decimal(38,0)) div cast({bottom} as decimal(38,0))")
-    rounded = F.when(F.col(value) >= 0, whole).otherwise(exact)
+    # What a bigint or 38 digits can't hold is null: a double tells it, and the exact way isn't taken.
+    dens = F.expr("cast(_mul_den as double) * cast(_add_den as double)")
+    about = F.abs(F.col(value).cast("double") * F.expr("cast(_mul_num as double) / cast(_mul_den as double)")) + F.abs(F.expr("cast(_add_num as double) / cast(_add_den as double)"))
+    fits = (about < GREATEST) & (about * dens < 1e31) & (dens < 1e31)
+    rounded = F.when(fits & (F.col(value) >= 0), whole).when(fits, exact)
     return scaled.withColumn(out, rounded).drop("_scaled", "_unit", "_mul_num", "_mul_den", "_add_num", "_add_den")
 
 
@@ -209,7 +215,7 @@ def read_amounts(df: DataFrame, id_col: str, columns: Sequence[str], *, currency
                 lambda m: (
                     _number(F.regexp_extract(m, _NUMBER, 0))
                     * F.when(m.rlike(r"\d\s*(?:thousand|k)$"), 1000).when(m.rlike(r"\d\s*(?:lakhs?|lacs?|l)$"), 100_000).when(m.rlike(r"(?:millions?|m)$"), 1_000_000).when(m.rlike(r"crores?$"), 10_000_000).otherwise(1)
-                ).cast("decimal(24,6)"),
+                ).try_cast("decimal(24,6)"),
             ),
             lambda a: a.isNotNull(),
         ),

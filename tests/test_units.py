@@ -35,6 +35,7 @@ def test_amounts(spark):
         ("19.99", "USD", None, "wc_store_api.prices.price", None, 1999), ("500 euro cents", None, None, None, None, 542), ("75 K", "USD", None, None, None, 7500000), ("PKR 1.1 lac", None, None, None, None, 39490),
         ("12.5", None, "Listed in thousands of Japanese yen.", None, None, 8388), ("10 - 20 USD", None, None, None, None, 1000), ("From $5", None, None, None, None, 500), ("۵۵,۱۵۱.۷۵ روپے", None, None, None, None, 19799),
         ("Rs. 100", None, None, None, "INR", 119), ("Sold out", None, None, None, None, None), ("", None, None, None, None, None), (None, None, None, None, None, None), ("20% off", None, None, None, None, None),
+        ("USD 999999999999999999", None, None, None, None, None), ("999999999999 crore", "INR", None, None, None, None), ("USD 91000000000000000.01", None, None, None, None, 9100000000000000001), ("USD 92233720368547758.08", None, None, None, None, None),
         ("5", None, "All prices in pounds sterling.", None, None, 634), ("100", "JPY", None, "rawData.priceInfo.price", None, 67), ("Ｕ＄７", None, None, None, None, 700),
     ]
     df = spark.createDataFrame([(i, f"s{i}", r[0], None, r[1], r[2], None, None, r[3]) for i, r in enumerate(rows)], P)
