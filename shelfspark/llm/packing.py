@@ -1,6 +1,7 @@
-"""Filling fixed-capacity containers with items of whole sizes: bulk-synchronous best fit.
+"""Filling fixed-capacity containers with items of whole sizes: best fit decreasing, in supersteps over runs of one size.
 
-Documents are range-sorted by size; each knows its rank among those of its size. Open containers are kept by their gap. A
+Documents are range-sorted by size; each knows its rank among those of its size. The supersteps run in a loop on the driver, over the
+histogram of sizes: only ranks and their lookup are distributed. Open containers are kept by their gap. A
 superstep takes the documents of one size, largest first, sweeps the gaps upwards from that size for the successors, gives
 the documents to them by rank (so no two documents can claim one place), and updates the gaps; documents without a gap open
 new containers.
@@ -96,9 +97,10 @@ def pack_kinds(sizes: DataFrame, kinds: dict[int, int], id_col: str = "doc_id",
     base = sizes.select(F.col(id_col).alias("_id"), F.coalesce(F.col(size_col), F.lit(0)).cast("bigint").alias("n"), F.inline(each))
     base = base.select("container_id", "capacity", "_id", "n", F.floor(F.col("n") / F.col("capacity")).alias("whole"), (F.col("n") % F.col("capacity")).cast("int").alias("size"))
     order = ["container_id", "size", "_id"]
-    ordered = materialize(base.repartitionByRange(*order).sortWithinPartitions(*order))
     position = F.monotonically_increasing_id()
-    placed = ordered.select("*", F.shiftright(position, 33).alias("part"), position.bitwiseAND((1 << 33) - 1).alias("place"))
+    ordered = base.repartitionByRange(*order).sortWithinPartitions(*order)
+    # Part and place are written with the rows, since a table is read back in other partitions.
+    placed = materialize(ordered.select("*", F.shiftright(position, 33).alias("part"), position.bitwiseAND((1 << 33) - 1).alias("place")))
     # One pass: counts by partition, kind and size; their number is bounded by partitions plus capacities, since it is sorted.
     counts = placed.groupBy("part", "container_id", "size").agg(F.count("*").alias("n"), F.max("whole").alias("whole")).collect()
     parts: dict[int, int] = {}
@@ -163,3 +165,31 @@ def pack_all(sizes: DataFrame, containers: DataFrame, id_col: str = "doc_id", si
     if len(kinds) > 1000:
         raise ValueError("more than 1000 kinds of containers")
     return pack_kinds(sizes, kinds, id_col, size_col)
+
+
+def fill(packed: DataFrame, containers: DataFrame) -> DataFrame:
+    """(container_id, bins, bound, tokens, filled): containers used, the least number that could hold the tokens, and the part of their room that is used."""
+    room = containers.filter("capacity_tokens > 0").groupBy("container_id").agg(F.min("capacity_tokens").cast("bigint").alias("capacity"))
+    used = packed.filter("bin_id is not null").groupBy("container_id", "bin_id").agg(F.sum("piece_tokens").alias("tokens"))
+    totals = used.groupBy("container_id").agg(F.count("*").alias("bins"), F.sum("tokens").alias("tokens")).join(F.broadcast(room), "container_id")
+    return totals.select("container_id", "bins", F.ceil(F.col("tokens") / F.col("capacity")).alias("bound"), "tokens", (F.col("tokens") / (F.col("bins") * F.col("capacity"))).alias("filled"))
+
+
+def faults(packed: DataFrame, sizes: DataFrame, containers: DataFrame, id_col: str = "doc_id", size_col: str = "n_tokens") -> DataFrame:
+    """(container_id, documents, wrong_documents, overfull): documents whose pieces aren't their tokens, once each and in order, and containers above their capacity.
+
+    Ids must be unique here.
+    """
+    room = containers.filter("capacity_tokens > 0").groupBy("container_id").agg(F.min("capacity_tokens").cast("bigint").alias("capacity"))
+    pieces = packed.groupBy("container_id", id_col).agg(
+        F.sum("piece_tokens").alias("n"), F.count("*").alias("pieces"), F.max("piece_no").alias("last"), F.max(F.col("token_start") + F.col("piece_tokens")).alias("end")
+    )
+    wanted = sizes.select(id_col, F.coalesce(F.col(size_col), F.lit(0)).cast("bigint").alias("size")).crossJoin(F.broadcast(room))
+    right = (F.col("n") == F.col("size")) & (F.col("end") == F.col("size")) & (F.col("pieces") == F.col("last") + 1)
+    right = right & (F.col("pieces") == F.greatest(F.ceil(F.col("size") / F.col("capacity")), F.lit(1)))
+    checked = wanted.join(pieces, ["container_id", id_col], "left").groupBy("container_id").agg(
+        F.count("*").alias("documents"), F.count_if(~F.coalesce(right, F.lit(False))).alias("wrong_documents")
+    )
+    over = packed.filter("bin_id is not null").groupBy("container_id", "bin_id").agg(F.sum("piece_tokens").alias("n")).join(F.broadcast(room), "container_id")
+    over = over.groupBy("container_id").agg(F.count_if(F.col("n") > F.col("capacity")).alias("overfull"))
+    return checked.join(over, "container_id", "left").select("container_id", "documents", "wrong_documents", F.coalesce("overfull", F.lit(0)).alias("overfull"))

@@ -24,6 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfspark.operators.skew import join_hot
 from shelfspark.session import materialize
 
 BUCKETS = 8192
@@ -140,21 +141,22 @@ def encode(df: DataFrame, text_col: str = "text", out: str = "ids", path: str |
     # The literal maps would be printed with every plan that the driver keeps.
     df.sparkSession.conf.set("spark.sql.maxPlanStringLength", str(PLAN_TEXT))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    pairs = df.select(F.explode(F.array_distinct(split_words(text))).alias("word"))
-    counted = pairs.groupBy("word").agg(F.count("*").alias("n"))
+    key = F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(11), text).alias("b"))
+    # Each text is split once.
+    texts = materialize(df.select("*", key.alias("_key"), split_words(text).alias("_words")))
+    counted = materialize(texts.select(F.explode(F.array_distinct("_words")).alias("word")).groupBy("word").agg(F.count("*").alias("n")))
     table = materialize(encode_words(counted, path))
     total = table.agg(F.sum("n").alias("n")).first()["n"] or 0
     is_hot = F.col("n") * HOT_BOUND >= F.lit(total)
     hot = [(r["word"], list(r["word_ids"])) for r in table.filter(is_hot).select("word", "word_ids").collect()]  # at most HOT_BOUND
     hot_ids = _bucketed(iter(hot), "array<int>")
     rare = table.filter(~is_hot).select("word", "word_ids")
-    key = F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(11), text).alias("b"))
-    texts = df.withColumn("_key", key)
-    missing = texts.select("_key", F.explode(F.filter(F.array_distinct(split_words(text)), lambda w: _lookup(hot_ids, w).isNull())).alias("word"))
+    missing = texts.select("_key", F.explode(F.filter(F.array_distinct("_words"), lambda w: _lookup(hot_ids, w).isNull())).alias("word"))
     found = missing.distinct().join(rare, "word").groupBy("_key").agg(F.map_from_entries(F.collect_list(F.struct("word", "word_ids"))).alias("_rare"))
-    joined = texts.join(found, "_key", "left")
-    ids = F.flatten(F.transform(split_words(text), lambda w: F.coalesce(_lookup(hot_ids, w), F.try_element_at(F.col("_rare"), w))))
-    return joined.withColumn(out, ids).drop("_key", "_rare")
+    # One text, the empty one among them, may hold a great part of the rows.
+    joined = join_hot(texts, found, "_key", "left")
+    ids = F.flatten(F.transform("_words", lambda w: F.coalesce(_lookup(hot_ids, w), F.try_element_at(F.col("_rare"), w))))
+    return joined.withColumn(out, ids).drop("_key", "_rare", "_words")
 
 
 def decode(ids: Column, path: str | None = None) -> Column:
