@@ -57,3 +57,20 @@ def test_rows(spark):
         [(1, "tags", 0, "a"), (1, "tags", 1, "b"), (3, "sizes", 0, "y"), (3, "sizes", 1, "z"), (3, "sizes", 2, "a")] + [(3, "tags", 0, "x"), (3, "tags", 1, "y, z")] * 2
     )
     assert split_values(df.limit(0), "row_id", ["tags"]).count() == 0
+
+
+def test_rare_values_are_protected_at_every_size(spark, monkeypatch):
+    from shelfspark.operators import packed
+
+    rows = [(1, '["Black, White", "Red"]'), (2, "Red, Black, White"), (3, "Black, White | Red"), (4, "White, Black")] + [(10 + i, '["Red", "Blue"]') for i in range(40)]
+    df = spark.createDataFrame(rows, "row_id long, colors string")
+
+    def values(bound):
+        monkeypatch.setattr(packed, "DICTIONARY_BOUND", bound)
+        got = {}
+        for r in packed.split_values(df, "row_id", ["colors"]).collect():
+            got.setdefault(r.row_id, {})[r.item_pos] = r.item_value
+        return {i: [v for _, v in sorted(x.items())] for i, x in got.items() if i < 10}
+
+    # With a bound of 3 the dictionary that goes to the workers holds two values.
+    assert values(3) == values(20_000) == {1: ["Black, White", "Red"], 2: ["Red", "Black, White"], 3: ["Black, White", "Red"], 4: ["White", "Black"]}
