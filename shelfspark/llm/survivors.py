@@ -100,11 +100,13 @@ def rank_records(df: DataFrame, groups: DataFrame, id_col: str, order: Sequence[
 
 def surviving_values(df: DataFrame, id_col: str = "row_id", fields: Sequence[str] = SURVIVOR_FIELDS) -> DataFrame:
     """(group_row_id, field_name, from_row_id): the row that each field's surviving value comes from, for groups of two or more."""
-    kinds = listing_kinds(df, id_col)
     texts = [f for f in ("product_name", "description") if f in fields]
     offered = F.array_compact(F.array(*(F.when(usable(f), F.lit(f)) for f in fields)))
-    kind = kind_of(listing_keys(), F.col(id_col))
-    rows = df.select(id_col, instant_micros(F.col("scraped_at").cast("string")).alias("instant"), offered.alias("offered"), kind.alias("kind"))
+    rows = df.select(id_col, listing_keys().alias("keys"), instant_micros(F.col("scraped_at").cast("string")).alias("instant"), offered.alias("offered"))
+    # Keys are read from the addresses once.
+    rows = materialize(rows.withColumn("kind", kind_of(F.col("keys"), F.col(id_col))))
+    kinds = listing_kinds(rows.select(id_col, "keys"), id_col)
+    rows = rows.drop("keys")
     if texts:
         bad = residue(df, id_col, texts).groupBy(id_col).agg(F.collect_set("field_name").alias("bad"))
         rows = rows.join(bad, id_col, "left").withColumn("offered", F.when(F.col("bad").isNull(), F.col("offered")).otherwise(F.array_except("offered", "bad")))
