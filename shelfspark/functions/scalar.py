@@ -196,3 +196,22 @@ def retry_delay(attempt: Column, delay: Column, status: Column) -> Column:
 
 def bounded_pages(wanted: Column, page_size: Column) -> Column:
     return F.greatest(F.lit(2), F.least(F.lit(5), F.ceil(F.coalesce(wanted, page_size * 3) / page_size))).cast("int")
+
+
+def is_item(payload: Column) -> Column:
+    """A discovered item is an object or a text; other JSON, and what is no JSON, is left out."""
+    return F.coalesce(F.schema_of_variant(strict_json(payload)).rlike("^(?:OBJECT|STRING)"), F.lit(False))
+
+
+# What a summary says where an answer leaves a field out.
+SUMMARY_DEFAULTS = (
+    ("title", "Website Data Summary"), ("business_type", "E-Commerce / Catalog"), ("summary", "Catalog extraction completed successfully."), ("estimated_catalog_size", "N/A"),
+)
+
+
+def summary_fields(answer: Column) -> list[Column]:
+    """The fields of a summary from an answer's JSON object: texts with their defaults, lists that are empty unless the answer has a list."""
+    v = F.try_parse_json(answer)
+    texts = [F.coalesce(F.nullif(F.try_variant_get(v, f"$.{name}", "string"), F.lit("")), F.lit(default)).alias(name) for name, default in SUMMARY_DEFAULTS]
+    lists = [F.coalesce(F.try_variant_get(v, f"$.{name}", "array<string>"), F.array().cast("array<string>")).alias(name) for name in ("key_highlights", "product_categories")]
+    return texts + lists

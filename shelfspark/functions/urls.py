@@ -16,12 +16,14 @@ OTHER_MARKERS = (
 # Query keys that only track visits.
 TRACKING = r"(?i)^(utm_[^=]*|fbclid|gclid|mc_cid|mc_eid)(=|$)"
 PAGE_KEYS = ("page", "p", "page_num", "page_number")
-# Names and ranges that no fetch may reach.
-BLOCKED_HOSTS = ("localhost", "metadata.google.internal", "metadata", "ip6-localhost", "ip6-loopback")
+# Hosts and networks that are never fetched from.
+BLOCKED_HOSTS = ("localhost", "loopback", "localhost.localdomain", "metadata.google.internal", "instance-data")
 BLOCKED_RANGES = (
-    ("0.0.0.0", 8), ("10.0.0.0", 8), ("100.64.0.0", 10), ("127.0.0.0", 8), ("169.254.0.0", 16), ("172.16.0.0", 12), ("192.0.0.0", 24),
-    ("192.168.0.0", 16), ("198.18.0.0", 15), ("224.0.0.0", 4), ("240.0.0.0", 4),
+    ("0.0.0.0", 8), ("10.0.0.0", 8), ("100.64.0.0", 10), ("127.0.0.0", 8), ("169.254.0.0", 16), ("172.16.0.0", 12), ("192.168.0.0", 16), ("192.0.0.0", 24),
+    ("192.0.2.0", 24), ("198.51.100.0", 24), ("203.0.113.0", 24), ("224.0.0.0", 4), ("240.0.0.0", 4),
 )
+#: Listing pages of a job at most.
+PAGE_CEILING = 50
 
 
 def scheme(url: Column) -> Column:
@@ -174,10 +176,15 @@ def next_offset_page(url: Column) -> Column:
     return F.when(offset.isNotNull() & limit.isNotNull(), moved)
 
 
+def rel_next(html: Column) -> Column:
+    """The address, as written, of the link that a page marks as its next one; null if there is none."""
+    one = r"(?is)<{tag}\b(?=[^>]*\brel\s*=\s*[\"']?next\b)[^>]*\bhref\s*=\s*[\"']([^\"']+)"
+    return first_filled(F.regexp_extract(html, one.replace("{tag}", "link"), 1), F.regexp_extract(html, one.replace("{tag}", "a"), 1))
+
+
 def next_rel_link(html: Column, base: Column) -> Column:
     """Target of the link that a page marks as its next one; null if there is none."""
-    one = r"(?is)<{tag}\b(?=[^>]*\brel\s*=\s*[\"']?next\b)[^>]*\bhref\s*=\s*[\"']([^\"']+)"
-    target = first_filled(F.regexp_extract(html, one.replace("{tag}", "link"), 1), F.regexp_extract(html, one.replace("{tag}", "a"), 1))
+    target = rel_next(html)
     return F.when(target.isNotNull(), absolute_url(target, base))
 
 
@@ -202,13 +209,28 @@ def unsafe_reason(url: Column) -> Column:
     kind = scheme(u)
     host = F.lower(F.regexp_replace(F.regexp_replace(netloc(u), r"^[^@]*@", ""), r":\d+$", ""))
     number = _address_number(host)
-    blocked = F.lit(False)
+    # One look at the number for each length of network.
+    blocked, lengths = F.lit(False), {}
     for first, bits in BLOCKED_RANGES:
         a, b, c, d = (int(x) for x in first.split("."))
-        low = ((a * 256 + b) * 256 + c) * 256 + d
-        blocked = blocked | number.between(low, low + 2 ** (32 - bits) - 1)
+        lengths.setdefault(bits, []).append((((a * 256 + b) * 256 + c) * 256 + d) >> (32 - bits))
+    for bits, heads in lengths.items():
+        blocked = blocked | F.shiftright(number, 32 - bits).isin(*heads)
     return (
         F.when(u == "", "empty").when((kind != "") & ~kind.isin("http", "https"), "scheme").when(host == "", "host")
         .when(host.isin(*BLOCKED_HOSTS) | host.endswith(".local") | host.endswith(".internal"), "blocked_host")
         .when(host.startswith("["), "literal").when(F.coalesce(blocked, F.lit(False)), "blocked_range").otherwise("")
     )
+
+
+def redirect_kind(url: Column, target: Column) -> Column:
+    """``blocked`` with its reason for an unsafe target, else ``same``, ``subdomain`` or ``other``; other sites are followed, and told apart for the log."""
+    reason = unsafe_reason(target)
+    old, new = F.lower(netloc(url)), F.lower(netloc(target))
+    below = new.endswith(F.concat(F.lit("."), old)) | old.endswith(F.concat(F.lit("."), new))
+    return F.when(reason != "", F.concat(F.lit("blocked: "), reason)).when(old == new, "same").when(below, "subdomain").otherwise("other")
+
+
+def same_goods(url: Column, node_id: Column) -> Column:
+    """A node is of the address's item unless both state an id and these differ."""
+    return F.coalesce(goods_id(url) == F.nullif(node_id, F.lit("")), F.lit(True))

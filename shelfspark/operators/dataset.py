@@ -118,6 +118,16 @@ def integrity_audit(df: DataFrame) -> DataFrame:
     )
 
 
+def column_audit(df: DataFrame) -> DataFrame:
+    """The audit of single columns that older exports have: no second column stands in for a missing one."""
+    return df.agg(
+        F.count("*").alias("total"),
+        F.count_if(_blank("product_name")).alias("missing_title"),
+        F.count_if(_blank("image_url")).alias("missing_image"),
+        F.count_if(~_blank("variants")).alias("has_variants"),
+    )
+
+
 def run_stats(items: DataFrame, records: DataFrame, failures: DataFrame, key: Column) -> DataFrame:
     """One row: discovered, scraped, failed, duplicates_removed."""
     parts = (

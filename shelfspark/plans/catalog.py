@@ -105,26 +105,78 @@ def product_path_flag(spark, d):
     return items.select("item_id", urls.is_product_path(urls.path(F.col("item_url"))).alias("is_product"))
 
 
-_SAFE_HOSTS = ("'localhost'", "'10.1.2.3'", "'8.8.8.8'", "'172.20.0.1:8080'", "'printer.local'", "'169.254.169.254'", "'192.168.7.7'", "h")
+_HOSTS = (
+    "localhost", "loopback", "localhost.localdomain", "metadata.google.internal", "instance-data", "printer.local", "db.internal", "0.1.2.3", "10.1.2.3", "11.0.0.0", "100.64.0.1", "100.127.255.255",
+    "100.128.0.0", "127.0.0.1", "169.254.169.254", "169.255.0.0", "172.15.255.255", "172.16.0.0", "172.31.255.255", "172.32.0.0", "192.168.7.7", "192.0.0.8", "192.0.1.0", "192.0.2.9", "198.51.100.1",
+    "198.51.101.1", "203.0.113.255", "203.0.114.0", "224.0.0.1", "239.255.255.255", "240.0.0.1", "255.255.255.255", "8.8.8.8", "shop.example", "172.20.0.1:8080", "223.255.255.255",
+)
 
 
-@query(r"""
-WITH a AS (SELECT failure_id, product_url, coalesce(NULLIF(regexp_extract(product_url, '^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//([^/?#]*)', 1), ''), 'x.example') AS h FROM failures),
-b AS (SELECT failure_id, CASE failure_id % 8 WHEN 0 THEN 'localhost' WHEN 1 THEN '10.1.2.3' WHEN 2 THEN '8.8.8.8' WHEN 3 THEN '172.20.0.1:8080' WHEN 4 THEN 'printer.local'
-  WHEN 5 THEN '169.254.169.254' WHEN 6 THEN '192.168.7.7' ELSE h END AS host, CASE WHEN failure_id % 5 = 0 THEN 'file' ELSE 'https' END AS s FROM a),
-c AS (SELECT failure_id, s, lower(regexp_replace(host, ':\d+$', '')) AS host FROM b)
-SELECT failure_id, CASE WHEN s = 'file' THEN 'scheme' WHEN host = 'localhost' OR ends_with(host, '.local') THEN 'blocked_host'
-  WHEN host IN ('10.1.2.3', '172.20.0.1', '169.254.169.254', '192.168.7.7') THEN 'blocked_range' ELSE '' END AS unsafe FROM c""")
+@query(rf"""
+WITH a AS (SELECT failure_id, ([{", ".join(f"'{h}'" for h in _HOSTS)}])[failure_id % {len(_HOSTS)} + 1] AS h, CASE WHEN failure_id % 5 = 0 THEN 'file' ELSE 'https' END AS s FROM failures),
+b AS (SELECT failure_id, s, regexp_replace(h, ':\d+$', '') AS h FROM a),
+c AS (SELECT failure_id, s, h, CASE WHEN regexp_matches(h, '^[0-9.]+$') THEN list_transform(string_split(h, '.'), lambda x: CAST(x AS INT)) END AS n FROM b)
+SELECT failure_id, CASE WHEN s = 'file' THEN 'scheme' WHEN regexp_matches(h, '^(localhost|loopback|localhost\.localdomain|instance-data)$|\.(local|internal)$') THEN 'blocked_host'
+  WHEN n[1] IN (0, 10, 127) OR n[1] >= 224 OR (n[1] = 100 AND n[2] BETWEEN 64 AND 127) OR (n[1] = 169 AND n[2] = 254) OR (n[1] = 172 AND n[2] BETWEEN 16 AND 31) OR (n[1] = 192 AND n[2] = 168)
+    OR (n[1] = 192 AND n[2] = 0 AND n[3] IN (0, 2)) OR (n[1] = 198 AND n[2] = 51 AND n[3] = 100) OR (n[1] = 203 AND n[2] = 0 AND n[3] = 113) THEN 'blocked_range' ELSE '' END AS unsafe FROM c""")
 def url_safety(spark, d):
     f = load_table(spark, d, "failures")
-    host = F.coalesce(scalar.filled(urls.netloc(F.col("product_url"))), F.lit("x.example"))
-    names = ("localhost", "10.1.2.3", "8.8.8.8", "172.20.0.1:8080", "printer.local", "169.254.169.254", "192.168.7.7")
-    for i, name in enumerate(names):
-        host = F.when(F.col("failure_id") % 8 == i, F.lit(name)).otherwise(host)
+    host = F.get(F.array(*map(F.lit, _HOSTS)), (F.col("failure_id") % len(_HOSTS)).cast("int"))
     kind = F.when(F.col("failure_id") % 5 == 0, "file").otherwise("https")
     return f.select("failure_id", urls.unsafe_reason(F.concat(kind, F.lit("://"), host, F.lit("/x"))).alias("unsafe"))
 
 
+@query(rf"""
+WITH a AS (SELECT row_id, lower({_NETLOC.format(u='product_url')}) AS o, lower({_NETLOC.format(u='source_url')}) AS n FROM products WHERE product_url LIKE 'http%' AND source_url LIKE 'http%')
+SELECT row_id, CASE WHEN n = '' THEN 'blocked: host' WHEN o = n THEN 'same' WHEN ends_with(n, '.' || o) OR ends_with(o, '.' || n) THEN 'subdomain' ELSE 'other' END AS kind FROM a""")
+def redirect_kinds(spark, d):
+    p = load_table(spark, d, "products").filter("product_url like 'http%' and source_url like 'http%'")
+    return p.select("row_id", urls.redirect_kind(F.col("product_url"), F.col("source_url")).alias("kind"))
+
+
+@query("""
+WITH a AS (SELECT item_id, NULLIF(regexp_extract(item_url, '[?&]goods_id=([^&#]*)', 1), '') AS g, NULLIF(json_extract_string(CASE WHEN json_valid(payload) THEN payload END, '$.goods_id'), '') AS n FROM discovery_items)
+SELECT item_id, coalesce(g = n, true) AS same FROM a""")
+def goods_matches(spark, d):
+    node = F.try_variant_get(scalar.strict_json(F.col("payload")), "$.goods_id", "string")
+    return load_table(spark, d, "discovery_items").select("item_id", urls.same_goods(F.col("item_url"), node).alias("same"))
+
+
+@query("SELECT item_id, json_valid(payload) AND json_type(CASE WHEN json_valid(payload) THEN payload END) IN ('OBJECT', 'VARCHAR') AS item FROM discovery_items WHERE payload IS NOT NULL")
+def item_shapes(spark, d):
+    return load_table(spark, d, "discovery_items").filter("payload is not null").select("item_id", scalar.is_item(F.col("payload")).alias("item"))
+
+
+@query(f"SELECT item_id, page_num FROM discovery_items WHERE page_num <= {urls.PAGE_CEILING}")
+def pages_below_ceiling(spark, d):
+    return load_table(spark, d, "discovery_items").select("item_id", "page_num").filter(F.col("page_num") <= urls.PAGE_CEILING)
+
+
+@query("""SELECT item_id, coalesce(NULLIF(json_extract_string(p, '$.title'), ''), 'Website Data Summary') AS title, coalesce(NULLIF(json_extract_string(p, '$.business_type'), ''), 'E-Commerce / Catalog') AS business_type,
+  coalesce(NULLIF(json_extract_string(p, '$.summary'), ''), 'Catalog extraction completed successfully.') AS summary, coalesce(NULLIF(json_extract_string(p, '$.estimated_catalog_size'), ''), 'N/A') AS estimated_catalog_size,
+  0::INT AS highlights FROM (SELECT item_id, CASE WHEN json_valid(payload) THEN payload END AS p FROM discovery_items)""")
+def summary_defaults(spark, d):
+    s = load_table(spark, d, "discovery_items").select("item_id", *scalar.summary_fields(F.col("payload")))
+    return s.select("item_id", *(n for n, _ in scalar.SUMMARY_DEFAULTS), F.size("key_highlights").alias("highlights"))
+
+
+@query("""SELECT count(*) AS total, count(*) FILTER (WHERE coalesce(trim(product_name), '') = '') AS missing_title, count(*) FILTER (WHERE coalesce(trim(image_url), '') = '') AS missing_image,
+  count(*) FILTER (WHERE coalesce(trim(variants), '') <> '') AS has_variants FROM products""")
+def column_audit(spark, d):
+    return dataset.column_audit(load_table(spark, d, "products"))
+
+
+@query("""SELECT raw_id, 2 AS page, 'https://' || source_domain || '/all/' || handle || '/3' AS next_url FROM store_products WHERE handle IS NOT NULL""")
+def numbered_pages(spark, d):
+    from shelfspark.sources import paging
+
+    s = load_table(spark, d, "store_products").filter("handle is not null")
+    link = lambda n: F.concat(F.lit("<li><a href='/all/"), "handle", F.lit(f"/{n}'><b>{n}</b></a></li>"))
+    html = F.concat(F.lit("<nav role=navigation><a href='/'>&gt;</a></nav><ul class='x pagination'>"), link(1), F.lit("<li class='active'>2</li>"), link(3), link(4), F.lit("</ul><p class=pages>9</p>"))
+    pages = s.select("raw_id", F.concat(F.lit("https://"), "source_domain", F.lit("/all")).alias("url"), html.alias("html"))
+    return paging.numbered_links(pages).select("raw_id", F.lit(2).alias("page"), F.col("numbered").alias("next_url"))
+
+
 _LOW_PATH = f"lower({_PATH.format(u='item_url')})"
 
 
