@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfspark.operators.skew import join_hot
-from shelfspark.session import materialize
+from shelfspark.session import discard, materialize
 
 BUCKETS = 8192
 HOT_BOUND = 20_000
@@ -151,12 +151,16 @@ def encode(df: DataFrame, text_col: str = "text", out: str = "ids", path: str |
     hot = [(r["word"], list(r["word_ids"])) for r in table.filter(is_hot).select("word", "word_ids").collect()]  # at most HOT_BOUND
     hot_ids = _bucketed(iter(hot), "array<int>")
     rare = table.filter(~is_hot).select("word", "word_ids")
-    missing = texts.select("_key", F.explode(F.filter(F.array_distinct("_words"), lambda w: _lookup(hot_ids, w).isNull())).alias("word"))
+    # Each word is looked up once. Only texts with a rarer word move; one text may hold a great part of the rows.
+    looked = texts.withColumn("_parts", F.transform("_words", lambda w: _lookup(hot_ids, w)))
+    looked = materialize(looked.withColumn("_words", F.when(F.exists("_parts", lambda p: p.isNull()), F.col("_words"))))
+    discard(texts, counted)
+    whole = looked.filter("_words is null").withColumn(out, F.flatten("_parts"))
+    rest = looked.filter("_words is not null").withColumn("_parts", F.arrays_zip(F.col("_words").alias("w"), F.col("_parts").alias("p")))
+    missing = rest.select("_key", F.explode(F.array_distinct(F.transform(F.filter("_parts", lambda x: x["p"].isNull()), lambda x: x["w"]))).alias("word"))
     found = missing.distinct().join(rare, "word").groupBy("_key").agg(F.map_from_entries(F.collect_list(F.struct("word", "word_ids"))).alias("_rare"))
-    # One text, the empty one among them, may hold a great part of the rows.
-    joined = join_hot(texts, found, "_key", "left")
-    ids = F.flatten(F.transform("_words", lambda w: F.coalesce(_lookup(hot_ids, w), F.try_element_at(F.col("_rare"), w))))
-    return joined.withColumn(out, ids).drop("_key", "_rare", "_words")
+    joined = join_hot(rest, found, "_key").withColumn(out, F.flatten(F.transform("_parts", lambda x: F.coalesce(x["p"], F.try_element_at(F.col("_rare"), x["w"])))))
+    return whole.select(*df.columns, out).unionByName(joined.select(*df.columns, out))
 
 
 def decode(ids: Column, path: str | None = None) -> Column:
