@@ -181,7 +181,10 @@ class Rewriter:
     def rewrite(self, text: str | None) -> str | None:
         if text is None or text.isascii():
             return text
-        for _ in range(4):
+        seen = set()
+        # To the fixed point: each pass leaves fewer odd members; a text that returned would end the loop as well.
+        while text not in seen:
+            seen.add(text)
             out, pos, keep = [], 0, None
             for last, member in self.automaton.iter_long(text):
                 begin = last + 1 - len(member)
@@ -233,6 +236,8 @@ def plain_texts(df: DataFrame, id_col: str, columns: Sequence[str], counts: Mapp
     def rewrite(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rewriter = _REWRITERS.get(key)
         if rewriter is None:
+            # A worker keeps the rewriter of one run only.
+            _REWRITERS.clear()
             rewriter = _REWRITERS[key] = Rewriter(shared.value)
         for batch in batches:
             plain = [rewriter.rewrite(t) for t in batch["text"]]

@@ -258,6 +258,8 @@ def document_subjects(documents: DataFrame, labels: DataFrame, subjects: DataFra
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         models = _MODELS.get(key)
         if models is None:
+            # A worker keeps the models of one run only.
+            _MODELS.clear()
             models = _MODELS[key] = shared.value
         for batch in batches:
             batch["subjects"] = models.accept_all(list(batch["text"]))
